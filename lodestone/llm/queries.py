@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, ngram_join, pii, toxicity
+from lodestone.llm import bpe, mixing, ngram_join, pii, toxicity
 from lodestone.llm.common import table
 
 
@@ -26,5 +26,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op10_toxicity": op10_toxicity, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op10_toxicity": op10_toxicity, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {}
