@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, mixing, ngram_join, pii, toxicity
+from lodestone.llm import bpe, knn, mixing, ngram_join, pii, sharding, substrings, toxicity
 from lodestone.llm.common import table
 
 
@@ -30,5 +30,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op10_toxicity": op10_toxicity, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_mixing": op8_mixing}
-ORACLES: dict[str, str] = {}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(table(spark, sf_dir, "documents"))
+
+
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op10_toxicity": op10_toxicity, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_mixing": op8_mixing, "op4_sharding": op4_sharding, "op2_substrings": op2_substrings, "op5_knn": op5_knn}
+ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE}
