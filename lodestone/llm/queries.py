@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, knn, mixing, ngram_join, pii, sharding, substrings, toxicity
+from lodestone.llm import bpe, fingerprints, hnsw, knn, mixing, ngram_join, pii, sharding, substrings, toxicity
 from lodestone.llm.common import table
 
 
@@ -42,5 +42,16 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op10_toxicity": op10_toxicity, "op6_ngram_join": op6_ngram_join, "op7_pii": op7_pii, "op8_mixing": op8_mixing, "op4_sharding": op4_sharding, "op2_substrings": op2_substrings, "op5_knn": op5_knn}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.containment(table(spark, sf_dir, "documents"))
+
+
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_bpe, op2_substrings, op3_hnsw, op4_sharding, op5_knn, op6_ngram_join, op7_pii, op8_mixing, op9_fingerprints, op10_toxicity)
+}
 ORACLES: dict[str, str] = {"op4_sharding": sharding.ORACLE}
