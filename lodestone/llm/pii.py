@@ -32,7 +32,7 @@ KINDS = ("email", "phone", "ip", "card", "secret", "ssn", "iban")
 #: Documents whose texts carry the training candidates, and candidates written of each kind and look-alike.
 SAMPLE, EACH = 1500, 500
 PRECISION = 0.98
-SPANS = "array<struct<start: int, stop: int, kind: string, score: double>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 GENERATORS = [
     (0, re.compile(r"[^\s@<>\"'(),;:=|]+@[^\s@<>\"'(),;:=|]+")),
@@ -417,7 +417,7 @@ def model(docs: DataFrame, bound: int = SAMPLE, each: int = EACH, seed: int = 3)
 def _redacted(docs: DataFrame, found: Redactor, extra: bool) -> DataFrame:
     schema = T.StructType(list(docs.schema))
     if extra:
-        schema = schema.add("n_redacted", "int").add("spans", T._parse_datatype_string(SPANS))
+        schema = T.StructType([*docs.schema, T.StructField("n_redacted", T.IntegerType()), T.StructField("spans", SPANS)])
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
