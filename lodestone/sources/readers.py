@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +19,22 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _utf8(content: Column) -> Column:
+    """Bytes as text; those that aren't UTF-8 are dropped."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of the .txt files of a folder; bytes that aren't UTF-8 are dropped; texts aren't cleaned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[tT][xX][tT]").load(path)
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = _utf8(F.col("content"))
     return files.select(stem(F.col("path")).alias("doc_id"), text.alias("text"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text) of the HTML files of a folder, without tags, cleaned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[hH][tT][mM]*").load(path)
-    return files.select(stem(F.col("path")).alias("doc_id"), X.strip_html(F.decode("content", "UTF-8")).alias("text"))
+    return files.select(stem(F.col("path")).alias("doc_id"), X.strip_html(_utf8(F.col("content"))).alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +48,6 @@ def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], str] | N
     """(doc_id, text) of the .pdf files of a folder by extract(bytes), which runs on the executors."""
     if extract is None:
         raise ModelNotAvailable("pass extract(bytes) -> str, such as a PDF parser or OCR")
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(content: pd.Series) -> pd.Series:
         return content.map(extract)
