@@ -7,6 +7,7 @@ Heavy string work is done once for each distinct token of a batch.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -89,22 +90,37 @@ def minhash_groups(t: Tokens, seed: int = 7) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int, targets: tuple[str, ...] = ("quality", "toxic")) -> pa.Table:
-    """doc_id, text and targets of up to bound labelled documents, the same ones whenever the tables are the same.
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -> DataFrame:
+    """doc_id, text, quality and toxic of up to bound labelled documents, the same ones whenever the tables are the same.
 
-    Labels with a null or documents without text are left out; of several labels
-    or documents of one doc_id the greatest counts. Only the bounded sample,
-    never the labels as a whole, is broadcast.
+    Labels with a null and documents without a text are left out; of several labels
+    of one doc_id the greatest counts. Only the bounded sample, never the labels as
+    a whole, is broadcast.
     """
-    one = labels.select("doc_id", *targets).na.drop().groupBy("doc_id").agg(*(F.max(x).alias(x) for x in targets))
+    one = labels.select("doc_id", "quality", "toxic").na.drop().groupBy("doc_id").agg(*(F.max(x).cast("long").alias(x) for x in ("quality", "toxic")))
     some = one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    found = texts.join(F.broadcast(some), "doc_id").toArrow()
-    order = np.lexsort([np.array([hash_text(x) for x in found["text"].to_pylist()], dtype=np.uint64), found["doc_id"].to_numpy()]) if found.num_rows else []
-    found = found.take(pa.array(order, pa.int64()))
-    ids = found["doc_id"].to_numpy()
-    last = np.append(ids[1:] != ids[:-1], True) if len(ids) else np.zeros(0, bool)
-    return found.filter(pa.array(last))
+    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality", "toxic")
+
+
+def settled(sample: pa.Table) -> pa.Table:
+    """The sample in a fixed order, with one text, the one of the greatest hash, for each doc_id."""
+    order = np.lexsort([np.array([hash_text(x) for x in sample["text"].to_pylist()], dtype=np.uint64), sample["doc_id"].to_numpy()]) if sample.num_rows else []
+    sample = sample.take(pa.array(order, pa.int64()))
+    ids = sample["doc_id"].to_numpy()
+    return sample.filter(pa.array(np.append(ids[1:] != ids[:-1], True) if len(ids) else np.zeros(0, bool)))
+
+
+def trained(sample: DataFrame, train):
+    """train(table), worked out by one task where the bounded sample is; only the model comes to the driver."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int64()), ("toxic", pa.int64())])
+
+    def run(batches):
+        held = [pa.RecordBatch.from_arrays([b.column(k).cast(t) for k, t in enumerate(schema.types)], schema=schema) for b in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(settled(pa.Table.from_batches(held, schema))))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train(schema.empty_table())
 
 
 def hash_text(x: str) -> int:

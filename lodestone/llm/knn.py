@@ -137,7 +137,7 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int
     Repeated rows and equal or null doc_ids keep a row each; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = train(X.labelled_sample(base, labels, bound, seed), seed)
+    found = X.trained(X.labelled_sample(base, labels, bound, seed), lambda sample: train(sample, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -47,7 +47,7 @@ class Posterior:
             sample = sample.take(pa.array(np.sort(first)))
         toxic, good = sample["toxic"].to_numpy() > 0, sample["quality"].to_numpy() > 0
         y = np.column_stack([good & ~toxic, ~good & ~toxic, toxic]).astype(np.float32)
-        self.prior = (y.sum(0) + 1) / (len(y) + len(DOMAINS))
+        self.prior = ((y.sum(0) + 1) / (len(y) + len(DOMAINS))).astype(float)
         if (y.sum(0) > 0).sum() > 1:
             t = X.tokens(sample["text"])
             self.selected = X.select(t, y.astype(float))
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE,
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    posterior = Posterior(X.labelled_sample(base, labels, bound, seed))
+    posterior = X.trained(X.labelled_sample(base, labels, bound, seed), Posterior)
     slim = scratch.save(_posteriors(base, posterior))
     out = _with_rates(slim, fit_rates(slim, _target(target)))
     shown = [F.round(c, 6).alias(c) for c in [*(f"p_{d}" for d in DOMAINS), "rate"]]
@@ -174,7 +174,7 @@ def apply(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    posterior = Posterior(X.labelled_sample(base, labels, bound, seed))
+    posterior = X.trained(X.labelled_sample(base, labels, bound, seed), Posterior)
     slim = scratch.save(_posteriors(base, posterior))
     duals = fit_rates(slim, _target(target))
     scratch.drop(slim)

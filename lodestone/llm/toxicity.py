@@ -120,7 +120,7 @@ def with_scores(docs: DataFrame, chain: Chain | None, prefix: str = "") -> DataF
 
 
 def model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int = 13) -> Chain | None:
-    return train(X.labelled_sample(docs, labels, bound, seed), seed)
+    return X.trained(X.labelled_sample(docs, labels, bound, seed), lambda sample: train(sample, seed))
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int = 13) -> DataFrame:
