@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N_DENSE = 6
@@ -97,12 +97,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -
     of one doc_id the greatest counts. Only the bounded sample, never the labels as
     a whole, is broadcast.
     """
-    one = labels.select("doc_id", "quality", "toxic").na.drop().groupBy("doc_id").agg(*(F.max(x).cast("long").alias(x) for x in ("quality", "toxic")))
+    some = thinned(labels.select("doc_id", "quality", "toxic").na.drop(), bound, F.xxhash64("doc_id", F.lit(seed)))
+    one = some.groupBy("doc_id").agg(*(F.max(x).cast("long").alias(x) for x in ("quality", "toxic")))
     some = one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality", "toxic")
 
 
+def thinned(df: DataFrame, bound: int, key: Column) -> DataFrame:
+    """The rows of the least keys, about twice the bound of them, so that a later sort and limit handles few rows however many there are."""
+    n = df.count()
+    return df if n <= 2 * bound else df.where(key <= F.lit(int(-(2**63) + 2**64 * (2 * bound / n))).cast("long"))
+
+
 def settled(sample: pa.Table) -> pa.Table:
     """The sample in a fixed order, with one text, the one of the greatest hash, for each doc_id."""
     order = np.lexsort([np.array([hash_text(x) for x in sample["text"].to_pylist()], dtype=np.uint64), sample["doc_id"].to_numpy()]) if sample.num_rows else []
@@ -111,13 +118,15 @@ def settled(sample: pa.Table) -> pa.Table:
     return sample.filter(pa.array(np.append(ids[1:] != ids[:-1], True) if len(ids) else np.zeros(0, bool)))
 
 
-def trained(sample: DataFrame, train):
+LABELLED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int64()), ("toxic", pa.int64())])
+
+
+def trained(sample: DataFrame, train, schema: pa.Schema = LABELLED, settle=settled):
     """train(table), worked out by one task where the bounded sample is; only the model comes to the driver."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int64()), ("toxic", pa.int64())])
 
     def run(batches):
         held = [pa.RecordBatch.from_arrays([b.column(k).cast(t) for k, t in enumerate(schema.types)], schema=schema) for b in batches]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(settled(pa.Table.from_batches(held, schema))))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(settle(pa.Table.from_batches(held, schema))))], pa.binary())], names=["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else train(schema.empty_table())

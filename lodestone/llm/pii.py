@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm import features as X
 from lodestone.llm.common import column, slices
 
 KINDS = ("email", "phone", "ip", "card", "secret", "ssn", "iban")
@@ -409,9 +410,10 @@ def train(texts: list[str], each: int = EACH, seed: int = 3) -> Redactor:
 
 
 def model(docs: DataFrame, bound: int = SAMPLE, each: int = EACH, seed: int = 3) -> Redactor:
-    ids = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    some = ids.orderBy(F.xxhash64("text"), "text").limit(bound)
-    return train(sorted(r.text for r in some.collect()), each, seed)
+    """The redactor trained on the texts of least hash, in a task; neither they nor any text comes to the driver."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("length(text) > 0").withColumn("key", F.xxhash64("text"))
+    few = X.thinned(texts, bound, F.col("key")).orderBy("key", "text").limit(bound).select("text")
+    return X.trained(few, lambda t: train(sorted(t["text"].to_pylist()), each, seed), pa.schema([("text", pa.string())]), lambda t: t)
 
 
 def _redacted(docs: DataFrame, found: Redactor, extra: bool) -> DataFrame:
