@@ -32,7 +32,7 @@ DOMAINS = ("high_quality", "low_quality", "toxic")
 #: Shares of all tokens that the mixture shall have.
 TARGET = (0.92, 0.08, 0.0)
 SAMPLE = 8192
-RIDGE = 1e-4
+RIDGE = 1e-3
 #: The fit ends when no domain's share of the tokens is further from its target than this, when
 #: the steps move none by more than a quarter of it, or after so many steps.
 TOLERANCE, STEPS = 1e-4, 60
