@@ -1 +1 @@
-
+"""Scalar functions and model hooks."""

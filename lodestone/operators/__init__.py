@@ -1 +1 @@
-
+"""Operators: DataFrames or columns in, the same out."""

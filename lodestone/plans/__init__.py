@@ -1 +1 @@
-
+"""Portable SQL plans."""

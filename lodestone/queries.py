@@ -17,6 +17,8 @@ from lodestone.operators import report as R
 from lodestone.operators import retrieve as T
 from lodestone.operators import segment as S
 from lodestone.plans import fixtures as FX
+from lodestone.sources import readers, writers
+from lodestone.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +43,7 @@ def lit(s: str) -> str:
 
 
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM customer", "FROM {customer}").replace("{customer}", "{customer}"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
 
 
 # --- pieces of SQL
@@ -602,3 +604,76 @@ def sanity(spark, sf_dir):
 def infer_adapters(spark, sf_dir):
     a = A.answer_policy(F.col("question"), F.col("said"), F.col("contexts"))
     return asks(spark, sf_dir).select("question", a.alias("a")).select("question", "a.answer", "a.confidence", F.lit(0.0).alias("latency"))
+
+
+# --- sources and sinks, each written to the shared folder and read again
+
+
+@add("scan_txt")
+def scan_txt(spark, sf_dir):
+    path = shared_path(spark, "txt")
+    table(spark, sf_dir, "benchmark").select("text").repartition(3).write.text(path)
+    return readers.read_txt(spark, path)
+
+
+@add("scan_table")
+def scan_table(spark, sf_dir):
+    path = shared_path(spark, "csv")
+    table(spark, sf_dir, "nation").coalesce(1).write.csv(path, header=True)
+    return readers.read_csv(spark, path)
+
+
+@add("scan_dir")
+def scan_dir(spark, sf_dir):
+    path = shared_path(spark, "dir")
+    table(spark, sf_dir, "benchmark").select("text").repartition(2).write.text(path)
+    table(spark, sf_dir, "nation").coalesce(1).write.mode("append").csv(path, header=True)
+    return readers.read_dir(spark, path)
+
+
+def kept_index(spark, sf_dir):
+    path = shared_path(spark, "index")
+    readers.cached_index(spark, path, lambda: doc_chunks(spark, sf_dir))
+    return readers.cached_index(spark, path, lambda: doc_chunks(spark, sf_dir))
+
+
+@add("sink_index", ORACLES["bm25_tf"])
+def sink_index(spark, sf_dir):
+    return kept_index(spark, sf_dir)["postings"]
+
+
+@add("scan_index", ORACLES["chunks"].replace(windows_sql(_whole, 100), windows_sql(_whole, 400)))
+def scan_index(spark, sf_dir):
+    return kept_index(spark, sf_dir)["chunks"]
+
+
+@add("index_cache", ORACLES["bm25_df_idf"])
+def index_cache(spark, sf_dir):
+    return kept_index(spark, sf_dir)["idf"].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@add("get_state", ORACLES["bm25_stats"])
+def get_state(spark, sf_dir):
+    return kept_index(spark, sf_dir)["stats"].select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@add("sink_results", ORACLES["eval_rows"])
+def sink_results(spark, sf_dir):
+    path, df = shared_path(spark, "results"), results(spark, sf_dir)
+    writers.write_results(df, path)
+    return spark.read.csv(path, header=True, schema=df.schema, quote='"', escape='"')
+
+
+@add("sink_report", f"SELECT DISTINCT name AS out_name FROM (SELECT 'report_' || coalesce(nullif(regexp_extract(name, '20[0-9]{{2}}'), ''), 'unknown') || '.txt' AS name, {year_sql('text', 'name')} AS y FROM ({FX.REPORTS}) AS r) AS t WHERE y IS NULL OR y NOT IN (2023, 2024)")
+def sink_report(spark, sf_dir):
+    path = shared_path(spark, "reports")
+    writers.write_reports(R.reports(fixture(spark, sf_dir, FX.REPORTS)), path)
+    return spark.read.text(path).select("out_name").distinct()
+
+
+@add("ui_controls")
+def ui_controls(spark, sf_dir):
+    """The list sizes, weight and reranking that a user sets; sizes of 0 mean the default."""
+    v, q = vectors(spark, sf_dir), bench_queries(spark, sf_dir).where("query_id < 20")
+    asked = q.join(v.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return T.retrieve(doc_chunks(spark, sf_dir), v, asked, k_dense=3, k_sparse=0, alpha=0.0, reranked=False)
