@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, list_array, slices, tokenizer_path
+from lodestone.llm.common import column, lean, list_array, slices, small_batches, tokenizer_path
 
 #: The pre-tokenizer of the public 50k byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -220,16 +220,17 @@ def encode(docs: DataFrame, path: str | None = None, leaf_chars: int = LEAF_CHAR
     rows and equal or null doc_ids keep a row each; other columns are ignored;
     an empty table gives an empty one. Any length of text is encoded whole.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer_path(path)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf_chars
-    short = base.where(~is_long).mapInArrow(_encode_batches(path), OUT)
+    short = base.where(~is_long).mapInArrow(lean(_encode_batches(path)), OUT)
     leaves = (
         base.where(is_long)
         .withColumn("key", F.xxhash64("text"))
-        .mapInArrow(_leaf_batches(path, leaf_chars), "doc_id long, key long, seq int, run int, piece binary")
+        .mapInArrow(lean(_leaf_batches(path, leaf_chars)), "doc_id long, key long, seq int, run int, piece binary")
         .repartition("doc_id", "key", "seq")
-        .mapInArrow(_encode_leaves(path), "doc_id long, key long, seq int, run int, tokens array<int>")
+        .mapInArrow(lean(_encode_leaves(path)), "doc_id long, key long, seq int, run int, tokens array<int>")
     )
     return short.unionByName(leaves.groupBy("doc_id", "key").applyInPandas(_join_leaves(path), OUT))
 

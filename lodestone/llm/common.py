@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 
@@ -16,11 +19,13 @@ BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = tempfile.mkdtemp(prefix="lodestone-")
@@ -55,6 +60,32 @@ def broadcast_if_small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
 
 
+#: Bytes of an Arrow batch between the JVM and Python. Both sides hold a few at a time for each running task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session pass batches of BATCH_BYTES to Python, unless it has a bound of its own below Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) >= 64 << 20:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def lean(run):
+    """run, followed by giving back to the system what memory it no longer needs, as workers are used again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def list_array(values: np.ndarray, lengths, kind: pa.DataType, valid=None) -> pa.Array:
     """A list array of consecutive runs of values; rows that aren't valid become null."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
@@ -67,7 +98,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(batch: pa.RecordBatch, name: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20):
     """The batch in pieces of about limit bytes of the named text column, so that workers stay small."""
     col = column(batch, name)
     rows = batch.num_rows

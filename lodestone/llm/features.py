@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import lean, small_batches
+
 N_DENSE = 6
 SHAPE = "\x00"
 
@@ -106,6 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -
 
 def thinned(df: DataFrame, bound: int, key: Column) -> DataFrame:
     """The rows of the least keys, about twice the bound of them, so that a later sort and limit handles few rows however many there are."""
+    small_batches(df.sparkSession)
     n = df.count()
     return df if n <= 2 * bound else df.where(key <= F.lit(int(-(2**63) + 2**64 * (2 * bound / n))).cast("long"))
 
@@ -128,7 +131,7 @@ def trained(sample: DataFrame, train, schema: pa.Schema = LABELLED, settle=settl
         held = [pa.RecordBatch.from_arrays([b.column(k).cast(t) for k, t in enumerate(schema.types)], schema=schema) for b in batches]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(settle(pa.Table.from_batches(held, schema))))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(found[0].model) if found else train(schema.empty_table())
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, column, list_array, slices
+from lodestone.llm.common import Scratch, column, lean, list_array, slices
 
 LEAST, NORMAL, MOST = 128, 512, 2048
 #: Leading zero bits that a cut needs before and after the normal size.
@@ -102,7 +102,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (of the set), weight, digests and sizes of every row with a text; an empty text has no chunk."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return base.mapInArrow(_fingerprints, "doc_id long, fingerprint long, weight long, digests array<long>, sizes array<int>")
+    return base.mapInArrow(lean(_fingerprints), "doc_id long, fingerprint long, weight long, digests array<long>, sizes array<int>")
 
 
 def containment(docs: DataFrame, least: float = CONTAINMENT) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, column, components
+from lodestone.llm.common import Scratch, column, components, lean
 
 THRESHOLD = 0.95
 #: Vectors of a shard and of a block of queries, about.
@@ -239,24 +239,24 @@ def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
     def parts(count: int, seed: int, build: bool) -> DataFrame:
         spread = vectors.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int"))
-        return scratch.save(spread.repartition(count, "dim", "part").sortWithinPartitions("dim", "part").select("dim", "part", "id", "v").mapInArrow(_blocks(build), "dim int, part int, made binary"))
+        return scratch.save(spread.repartition(count, "dim", "part").sortWithinPartitions("dim", "part").select("dim", "part", "id", "v").mapInArrow(lean(_blocks(build)), "dim int, part int, made binary"))
 
     graphs = parts(shards, 1, True)
     queries = parts(blocks, 2, False).select(F.col("dim").alias("q_dim"), F.col("part").alias("q_part"), F.col("made").alias("q_made"))
     sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).select("id", "v").collect()
     ids = np.array([r.id for r in sample], dtype=np.int64)
     units = [np.array(r.v, dtype=np.float32) / np.linalg.norm(np.array(r.v, dtype=np.float32)) for r in sample]
-    true = vectors.select("id", "v", "dim").mapInArrow(_scan(ids, units, threshold + 1e-4), "a long, b long").collect()
+    true = vectors.select("id", "v", "dim").mapInArrow(lean(_scan(ids, units, threshold + 1e-4)), "a long, b long").collect()
     want = {(r.a, r.b) for r in true}
     work = queries.repartition(blocks).crossJoin(graphs.repartition(shards))
     width = BEAM
     while True:
-        audited = work.mapInArrow(_query(threshold, width, True, set(ids.tolist())), "a long, b long, cosine double").select("a", "b").collect() if want else []
+        audited = work.mapInArrow(lean(_query(threshold, width, True, set(ids.tolist()))), "a long, b long, cosine double").select("a", "b").collect() if want else []
         got = {(r.a, r.b) for r in audited}
         if len(want & got) >= recall * len(want) or width >= 2 * SHARD:
             break
         width *= 2
-    found = work.mapInArrow(_query(threshold, width, False, set()), "a long, b long, cosine double")
+    found = work.mapInArrow(lean(_query(threshold, width, False, set())), "a long, b long, cosine double")
     out = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return scratch.save(out)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import features as X
-from lodestone.llm.common import column, slices
+from lodestone.llm.common import column, lean, slices
 from lodestone.llm.toxicity import pick_threshold
 
 #: Labelled documents, at most; features; width of the latent space; neighbours that vote.
@@ -156,4 +156,4 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int
                     cols = [pa.array(np.round(score, 6), mask=null), pa.array(np.round(nearest, 6).astype(float), mask=null), pa.array(keep)]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *cols], names=["doc_id", "quality_score", "nearest", "keep"])
 
-    return base.mapInArrow(run, OUT)
+    return base.mapInArrow(lean(run), OUT)

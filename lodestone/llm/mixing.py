@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import features as X
-from lodestone.llm.common import Scratch, column, slices
+from lodestone.llm.common import Scratch, column, lean, slices
 
 DOMAINS = ("high_quality", "low_quality", "toxic")
 #: Shares of all tokens that the mixture shall have.
@@ -90,7 +90,7 @@ def totals(slim: DataFrame, duals: list[np.ndarray]) -> tuple[np.ndarray, np.nda
             total += np.concatenate([(r * n) @ p, (y * n) @ p])
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
 
-    parts = slim.select("n_tokens", *(f"p_{d}" for d in DOMAINS)).mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    parts = slim.select("n_tokens", *(f"p_{d}" for d in DOMAINS)).mapInArrow(lean(run), ", ".join(f"{n} double" for n in names))
     row = parts.agg(*(F.sum(n).alias(n) for n in names)).first()
     both = np.array([row[n] or 0.0 for n in names])
     return both[: len(DOMAINS)], both[len(DOMAINS) :]
@@ -122,7 +122,7 @@ def _posteriors(docs: DataFrame, posterior: Posterior) -> DataFrame:
                 p, n = posterior(column(batch, "text"))
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", *names])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return docs.mapInArrow(lean(run), "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
 def _with_rates(slim: DataFrame, duals: list[np.ndarray]) -> DataFrame:
@@ -131,7 +131,7 @@ def _with_rates(slim: DataFrame, duals: list[np.ndarray]) -> DataFrame:
             r, _ = rates(_matrix(batch), duals)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
 
-    return slim.mapInArrow(run, T.StructType([*slim.schema, T.StructField("rate", T.DoubleType())]))
+    return slim.mapInArrow(lean(run), T.StructType([*slim.schema, T.StructField("rate", T.DoubleType())]))
 
 
 def copies(rate: F.Column, *key: F.Column) -> F.Column:
@@ -185,6 +185,6 @@ def apply(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE
                 r, _ = rates(posterior(column(batch, "text"))[0], duals)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "__mix_rate"])
 
-    rated = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("__mix_rate", T.DoubleType())]))
+    rated = docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField("__mix_rate", T.DoubleType())]))
     n = copies(F.col("__mix_rate"), F.col("doc_id"), F.col("text"))
     return rated.withColumn("__mix_copies", n).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)

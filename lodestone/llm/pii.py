@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import features as X
-from lodestone.llm.common import column, slices
+from lodestone.llm.common import column, lean, slices
 
 KINDS = ("email", "phone", "ip", "card", "secret", "ssn", "iban")
 #: Documents whose texts carry the training candidates, and candidates written of each kind and look-alike.
@@ -440,7 +440,7 @@ def _redacted(docs: DataFrame, found: Redactor, extra: bool) -> DataFrame:
                     cols["spans"] = pa.array(spans, span)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def redact(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:

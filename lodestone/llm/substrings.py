@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, column, list_array, slices
+from lodestone.llm.common import Scratch, column, lean, list_array, slices
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 12, 25
 #: A sentence with the white space after it.
@@ -119,10 +119,10 @@ def dedupe(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("version", F.xxhash64("text"))
     known = base.where("doc_id is not null and length(text) > 0")
-    found = scratch.save(known.mapInArrow(_runs, "doc_id long, version long, first int, n int, key long"))
+    found = scratch.save(known.mapInArrow(lean(_runs), "doc_id long, version long, first int, n int, key long"))
     place = F.struct("doc_id", "version", "first")
     ends = found.groupBy("key").agg(F.min(place).alias("e"), F.max(place).alias("l"))
     repeated = ends.where("e <> l").select("key", "e")
     later = found.join(repeated, "key").where(place != F.col("e"))
     covered = later.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n")).alias("covered"))
-    return base.join(covered, ["doc_id", "version"], "left").select("doc_id", "text", "covered").mapInArrow(_cut, "doc_id long, text string, n_removed int")
+    return base.join(covered, ["doc_id", "version"], "left").select("doc_id", "text", "covered").mapInArrow(lean(_cut), "doc_id long, text string, n_removed int")

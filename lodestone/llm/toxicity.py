@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import features as X
-from lodestone.llm.common import column, slices
+from lodestone.llm.common import column, lean, slices
 
 CATEGORIES = ("low_quality", "toxic", "severe_toxic")
 #: Documents of the labelled table that the chain is trained on, at most.
@@ -116,7 +116,7 @@ def with_scores(docs: DataFrame, chain: Chain | None, prefix: str = "") -> DataF
                     flag = (p[:, 1] >= chain.threshold) & ~null
                 yield pa.RecordBatch.from_arrays([*batch.columns, *scores, pa.array(flag)], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int = 13) -> Chain | None:
