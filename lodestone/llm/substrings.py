@@ -3,7 +3,8 @@
 From every sentence on, the run of several consecutive sentences that is long
 enough is hashed: at least MIN_SENTENCES of them and at least MIN_WORDS words (a
 single sentence of LONG_SENTENCE words or more counts as several). A run's extent follows
-from its own text, so equal passages have equal runs wherever they stand. The
+from its own text, and a long sentence falls into clauses, or where it has none into
+stretches that end at words chosen by their hash; so equal passages have equal runs wherever they stand. The
 runs are joined over all documents, and sentences covered by a run that occurs
 earlier, in the order of (doc_id, place), are removed.
 """
@@ -11,6 +12,7 @@ earlier, in the order of (doc_id, place), are removed.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,36 @@ MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 12, 25
 SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=[^\s.!?])[^\n.!?]*)*(?:[.!?]+\s*|\n\s*|$)")
 
 
+CLAUSE = re.compile(r"[^,;:]*(?:[,;:]+(?=[^\s,;:])[^,;:]*)*(?:[,;:]+\s*|$)")
+WORD = re.compile(r"\S+\s*|\s+")
+#: A stretch ends at about one word in so many, and at the latest after so many words.
+STRETCH, LONGEST = 8, 32
+
+
+def stretches(clause: str) -> list[str]:
+    """A long clause without marks, cut after words that depend on nothing but themselves."""
+    out, at, n = [], 0, 0
+    for m in WORD.finditer(clause):
+        n += 1
+        if n == LONGEST or zlib.crc32(m.group().strip().lower().encode()) % STRETCH == 0:
+            out.append(clause[at : m.end()])
+            at, n = m.end(), 0
+    return out + [clause[at:]] if at < len(clause) else out
+
+
 def sentences(text: str) -> list[str]:
-    """The parts of a text, which join to the very text again."""
-    return [m for m in SENTENCE.findall(text) if m]
+    """The parts of a text, which join to the very text again: sentences, and the clauses or stretches of long ones."""
+    out = []
+    for s in SENTENCE.findall(text):
+        if s and s.count(" ") < LONG_SENTENCE:
+            out.append(s)
+        elif s:
+            for c in CLAUSE.findall(s):
+                if c and c.count(" ") < LONG_SENTENCE:
+                    out.append(c)
+                elif c:
+                    out += stretches(c)
+    return out
 
 
 def runs(text: str) -> tuple[list[int], list[int], list[int]]:
