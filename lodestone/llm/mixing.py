@@ -97,7 +97,11 @@ def totals(slim: DataFrame, duals: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def fit_rates(slim: DataFrame, target: np.ndarray) -> list[np.ndarray]:
-    """The sums less the target of each step, from which rates() gives any document's rate."""
+    """The sums less the target of each step, from which rates() gives any document's rate.
+
+    Where the first domain has more than its share already, all targets are raised in proportion
+    until it needs no thinning: the mixture grows by the others rather than lose what it wants most.
+    """
     n = slim.agg(F.sum("n_tokens")).first()[0] or 0
     duals: list[np.ndarray] = []
     if not n:
@@ -106,6 +110,8 @@ def fit_rates(slim: DataFrame, target: np.ndarray) -> list[np.ndarray]:
     for _ in range(STEPS):
         at_r, at_y = totals(slim, duals)
         s = at_r / n
+        if last is None and target[0] > 0:
+            target = target * max(1.0, s[0] / target[0])
         if np.abs(s - target).max() < TOLERANCE or (last is not None and np.abs(s - last).max() < TOLERANCE / 4):
             break
         last = s
