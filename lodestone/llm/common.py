@@ -67,7 +67,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Has the session pass batches of BATCH_BYTES to Python, unless it has a bound of its own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(name, str(64 << 20)).rstrip("b") == str(64 << 20):
         spark.conf.set(name, str(BATCH_BYTES))
 
 
