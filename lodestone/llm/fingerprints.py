@@ -1,9 +1,11 @@
 """Document fingerprints from content-defined chunks.
 
 A text (lower case, white space folded) is cut where the gear hash of the last
-32 bytes has enough leading zeros: more of them before the normal size, fewer
+bytes has enough leading zeros: more of them before the normal size, fewer
 after it, so that chunk sizes lie close together. Boundaries follow the content,
-so that an insertion changes the chunks around it only. A document's fingerprint
+so that an insertion changes the chunks around it only. Fingerprints are made of
+FINE chunks of about five words, whose boundaries hang on four bytes, so that a near copy
+with an edit every few words still shares most of them. A document's fingerprint
 is the set of its chunk digests, weighted by chunk length; the containment of A
 in B is the weight of A's chunks that B has too over the weight of all of A's.
 
@@ -28,18 +30,26 @@ from lodestone.llm.common import Scratch, column, lean, list_array, slices
 LEAST, NORMAL, MOST = 128, 512, 2048
 #: Leading zero bits that a cut needs before and after the normal size.
 HARD, EASY = 11, 7
-CONTAINMENT = 0.5
+#: Least, normal and most bytes, leading zero bits before and after the normal size, and bytes hashed, of a fingerprint's chunks.
+FINE = (8, 24, 96, 6, 3, 4)
+#: Near copies with word-trigram Jaccard from 0.5 reach this; see the README for how many.
+CONTAINMENT = 0.4
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 GEAR[0] = 0
 PAD = 32
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash at every byte: the sum of GEAR of the last 32 bytes, each shifted by its distance."""
-    h = GEAR[data]
-    for s in (1, 2, 4, 8, 16):
+#: The low bits of a digest, which hold its chunk's size less 1.
+SIZE_BITS = 7
+
+
+def gear(data: np.ndarray, last: int = 32) -> np.ndarray:
+    """The gear hash at every byte: the sum of GEAR of the last bytes (a power of 2 of them), each shifted by its distance."""
+    h, s = GEAR[data], 1
+    while s < last:
         low = h[:-s] << np.uint32(s)
         h[s:] += low
+        s *= 2
     return h
 
 
@@ -47,29 +57,30 @@ def normal(texts: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), r"\s+", " "))
 
 
-def chunks(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+def chunks(texts: list[bytes], sizes: tuple[int, ...] = (LEAST, NORMAL, MOST, HARD, EASY, PAD)) -> tuple[np.ndarray, list[bytes]]:
     """(chunks of each text, all chunks)."""
+    least, usual, most, strict, loose, last = sizes
     joined = b"\0" * PAD + (b"\0" * PAD).join(texts)
-    h = gear(np.frombuffer(joined, dtype=np.uint8))
-    easy = np.flatnonzero(h < np.uint32(1 << (32 - EASY)))
-    hard = easy[h[easy] < np.uint32(1 << (32 - HARD))].tolist()
+    h = gear(np.frombuffer(joined, dtype=np.uint8), last)
+    easy = np.flatnonzero(h < np.uint32(1 << (32 - loose)))
+    hard = easy[h[easy] < np.uint32(1 << (32 - strict))].tolist()
     easy = easy.tolist()
     counts, out, at = np.zeros(len(texts), dtype=np.int64), [], PAD
     for i, text in enumerate(texts):
-        s, end = at, at + len(text)
+        s, end, before = at, at + len(text), len(out)
         while s < end:
-            cut = min(s + MOST, end)
-            if end - s > LEAST:
-                k = bisect_left(hard, s + LEAST)
-                if k < len(hard) and hard[k] < min(s + NORMAL, end):
+            cut = min(s + most, end)
+            if end - s > least:
+                k = bisect_left(hard, s + least)
+                if k < len(hard) and hard[k] < min(s + usual, end):
                     cut = hard[k] + 1
                 else:
-                    k = bisect_left(easy, s + NORMAL)
+                    k = bisect_left(easy, s + usual)
                     if k < len(easy) and easy[k] < cut:
                         cut = easy[k] + 1
             out.append(joined[s:cut])
-            counts[i] += 1
             s = cut
+        counts[i] = len(out) - before
         at = end + PAD
     return counts, out
 
@@ -81,9 +92,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
             texts = [x or b"" for x in normal(column(batch, "text")).cast(pa.binary()).to_pylist()]
-            counts, parts = chunks(texts)
-            keys = np.array([digest(x) for x in parts], dtype=np.uint64).view(np.int64)
-            sizes = np.array([len(x) for x in parts], dtype=np.int32)
+            counts, parts = chunks(texts, FINE)
+            sizes = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts))
+            keys = np.fromiter(map(digest, parts), dtype=np.uint64, count=len(parts))
+            keys = (keys >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS) | (sizes - 1).astype(np.uint64)).view(np.int64)
             doc = np.repeat(np.arange(len(texts)), counts)
             order = np.lexsort((keys, doc))
             keys, sizes, doc = keys[order], sizes[order], doc[order]
@@ -100,7 +112,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (of the set), weight, digests and sizes of every row with a text; an empty text has no chunk."""
+    """doc_id, fingerprint (of the set), weight, digests and sizes of every row with a text; an empty text has no chunk. A digest's lowest SIZE_BITS hold the chunk's size less 1."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return base.mapInArrow(lean(_fingerprints), "doc_id long, fingerprint long, weight long, digests array<long>, sizes array<int>")
 
@@ -115,27 +127,27 @@ def containment(docs: DataFrame, least: float = CONTAINMENT) -> DataFrame:
     fingerprint. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    prints = scratch.save(fingerprint(docs.where("doc_id is not null")).where("weight > 0"))
-    keys = ["fingerprint", "weight"]
-    classes = scratch.save(prints.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("ids"), F.first("digests").alias("digests"), F.first("sizes").alias("sizes")))
-    rows = classes.select("fingerprint", "weight", F.explode(F.arrays_zip("digests", "sizes")).alias("c")).select("fingerprint", "weight", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size"))
-    shared = rows.groupBy("digest").agg(F.count("*").alias("df")).where("df > 1")
+    # cutting twice costs less disk than keeping every chunk until the shared ones are known
+    prints = fingerprint(docs.where("doc_id is not null")).where("weight > 0")
+    classes = scratch.save(prints.groupBy("fingerprint").agg(F.first("weight").alias("weight"), F.array_sort(F.collect_set("doc_id")).alias("ids")))
+    same = Window.partitionBy("digest")
+    rows = prints.select("fingerprint", F.explode("digests").alias("digest"))
     # a chunk that no other document has is never a way to another; it only uses up what may be lacking
-    common = scratch.save(rows.join(shared, "digest").select("fingerprint", "weight", "digest", "size", "df"))
-    lacking = F.col("weight") - F.sum("size").over(Window.partitionBy("fingerprint", "weight"))
-    order = Window.partitionBy("fingerprint", "weight").orderBy("df", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leading = common.withColumn("before", lacking + F.sum("size").over(order) - F.col("size")).where(F.col("before") <= (1 - least) * F.col("weight") + 1e-6)
+    several = rows.select("*", F.min("fingerprint").over(same).alias("low"), F.max("fingerprint").over(same).alias("high")).where("low <> high").select("digest", "fingerprint").distinct()
+    common = scratch.save(several.withColumn("df", F.count("*").over(same)))
+    size = lambda d: d.bitwiseAND((1 << SIZE_BITS) - 1) + 1
+    weighed = common.withColumn("size", size(F.col("digest"))).join(classes.select("fingerprint", "weight"), "fingerprint")
+    lacking = F.col("weight") - F.sum("size").over(Window.partitionBy("fingerprint"))
+    order = Window.partitionBy("fingerprint").orderBy("df", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leading = weighed.withColumn("before", lacking + F.sum("size").over(order) - F.col("size")).where(F.col("before") <= (1 - least) * F.col("weight") + 1e-6)
     a = leading.select("digest", F.col("fingerprint").alias("a"), F.col("weight").alias("a_weight"))
-    b = common.select("digest", F.col("fingerprint").alias("b"), F.col("weight").alias("b_weight"))
+    b = weighed.select("digest", F.col("fingerprint").alias("b"), F.col("weight").alias("b_weight"))
     near = (F.col("a") != F.col("b")) & (F.col("b_weight") >= least * F.col("a_weight") - 1e-6)
-    pairs = a.join(b, "digest").where(near).select("a", "b").distinct()
-    slim = classes.select("fingerprint", "weight", "digests", "sizes")
-    whole = slim.groupBy("fingerprint").agg(F.first("weight").alias("weight"), F.first("digests").alias("digests"), F.first("sizes").alias("sizes"))
-    left = whole.select(F.col("fingerprint").alias("a"), F.col("weight").alias("a_weight"), F.col("digests").alias("a_digests"), F.col("sizes").alias("a_sizes"))
-    right = whole.select(F.col("fingerprint").alias("b"), F.col("digests").alias("b_digests"))
-    both = F.aggregate(
-        F.zip_with("a_digests", "a_sizes", lambda d, s: F.when(F.array_contains("b_digests", d), s).otherwise(0)), F.lit(0).cast("long"), lambda acc, s: acc + s
-    )
+    pairs = a.join(b, "digest").where(near).select("a", "b", "a_weight").distinct()
+    sets = common.groupBy("fingerprint").agg(F.collect_list("digest").alias("digests"))
+    left = sets.select(F.col("fingerprint").alias("a"), F.col("digests").alias("a_digests"))
+    right = sets.select(F.col("fingerprint").alias("b"), F.col("digests").alias("b_digests"))
+    both = F.aggregate(F.array_intersect("a_digests", "b_digests"), F.lit(0).cast("long"), lambda acc, d: acc + size(d))
     exact = pairs.join(right, "b").join(left, "a").select("a", "b", (both / F.col("a_weight")).alias("containment")).where(F.col("containment") >= least)
     lists = classes.select("fingerprint", "ids")
     named = exact.join(lists.select(F.col("fingerprint").alias("a"), F.col("ids").alias("contained_ids")), "a").join(lists.select(F.col("fingerprint").alias("b"), F.col("ids").alias("container_ids")), "b")

@@ -409,6 +409,22 @@ def test_containment_like_brute_force(docs):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
 
+def test_containment_finds_near_copies_by_words(spark, docs):
+    r = random.Random(9)
+    texts = [x.text for x in docs.where("text is not null").orderBy("doc_id").limit(120).collect()]
+    texts = [x for x in texts if 30 <= len(x.split()) <= 2000]
+    edited = [" ".join(w if r.random() > 0.06 else "other" + str(r.randrange(10**6)) for w in x.split()) for x in texts]
+    rows = list(enumerate([*texts, *edited]))
+    words = [x.lower().split() for _, x in rows]
+    grams = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in words]
+    want = {(a, b) for a in range(len(rows)) for b in range(a) if len(grams[a] & grams[b]) >= 0.5 * len(grams[a] | grams[b])}
+    got = set()
+    for row in fingerprints.containment(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got |= {(max(x, y), min(x, y)) for x in row.contained_ids for y in row.container_ids if x != y}
+    assert len(want) >= 60 and len(want & got) >= 0.85 * len(want), (len(want), len(want & got))
+    assert sum(10 * len(grams[a] & grams[b]) < min(len(grams[a]), len(grams[b])) for a, b in got) <= 0.02 * len(got)
+
+
 def test_containment_odd(odd, none):
     out = fingerprints.containment(odd).collect()
     assert all(x is not None for r in out for x in [*r.contained_ids, *r.container_ids])
