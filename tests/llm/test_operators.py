@@ -436,3 +436,13 @@ def test_bag_of_words():
     assert t.counts.tolist() == [4, 0, 0, 2]
     doc, feature, times = X.bag(t, pa.array(["cat", "the", "\x00A,"]))
     assert list(zip(doc.tolist(), feature.tolist(), times.tolist())) == [(0, 0, 2), (0, 1, 2), (0, 2, 1)]
+
+
+def test_near_copies_group_and_others_do_not():
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [r.sample(vocabulary, 150) for _ in range(200)]
+    copies = [[*x[:70], "edited", *x[71:]] for x in texts]
+    group = X.minhash_groups(X.tokens(pa.array([" ".join(x) for x in [*texts, *copies]] + ["", None])))
+    assert len(set(group[:200].tolist())) == 200
+    assert group[:200].tolist() == group[200:400].tolist() and group[400] == group[401]
