@@ -1,8 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
 From every sentence on, the run of several consecutive sentences that is long
-enough is hashed: at least MIN_SENTENCES of them and at least MIN_WORDS words (a
-single sentence of LONG_SENTENCE words or more counts as several). A run's extent follows
+enough is hashed: at least MIN_SENTENCES of them and at least MIN_WORDS words. A
+single sentence of MIN_WORDS words or more is a run as well. A run's extent follows
 from its own text, and a long sentence falls into clauses, or where it has none into
 stretches that end at words chosen by their hash; so equal passages have equal runs wherever they stand. The
 runs are joined over all documents, and sentences covered by a run that occurs
@@ -80,6 +80,11 @@ def runs(text: str) -> tuple[list[int], list[int], list[int]]:
             count.append(1)
             key.append(digest(keys[i]))
         else:
+            alone = sizes[i] >= MIN_WORDS
+            if alone:
+                first.append(i)
+                count.append(1)
+                key.append(digest(keys[i]))
             full = sum(1 for k in range(i, end) if sizes[k])
             while end < n and (total < MIN_WORDS or full < MIN_SENTENCES):
                 total += sizes[end]
@@ -87,15 +92,17 @@ def runs(text: str) -> tuple[list[int], list[int], list[int]]:
                 end += 1
             if total < MIN_WORDS or full < MIN_SENTENCES:
                 break
-            first.append(i)
-            count.append(end - i)
-            key.append(digest(" ".join(keys[i:end])))
+            # a next sentence that is long enough has a run of its own
+            if not alone or total - sizes[i] < MIN_WORDS:
+                first.append(i)
+                count.append(end - i)
+                key.append(digest(" ".join(keys[i:end])))
         if end > i:
             total -= sizes[i]
-    # a run of one long sentence at the end is still to come where the loop above broke off
+    # a run of one sentence at the end is still to come where the loop above broke off
     last = first[-1] + 1 if first else 0
     for i in range(last, n):
-        if sizes[i] >= LONG_SENTENCE:
+        if sizes[i] >= MIN_WORDS:
             first.append(i)
             count.append(1)
             key.append(digest(keys[i]))

@@ -107,6 +107,16 @@ def test_substrings_passage_between_others(spark):
     assert "second part" not in got[2] and got[2].startswith("Other words") and got[2].endswith("another end of it.")
 
 
+def test_substrings_one_whole_sentence_of_a_passage(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    passage = f"{word('a', 19)}. {word('b', 16)}. {word('c', 22)}"
+    rows = [(1, f"One {passage} two. An end."), (2, f"Three {passage} four. Another end."), (3, f"Nothing else. {word('d', 14)}. Short end."), (4, f"Of it. {word('d', 14)}. Short end.")]
+    got = {r.doc_id: r.text for r in substrings.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert "b0 " not in got[2] and got[2].endswith("Another end.")
+    assert got[4] == "Of it. "
+
+
 def test_substrings_odd(odd, none):
     rows = substrings.dedupe(odd).collect()
     assert len(rows) == len(ODD)
