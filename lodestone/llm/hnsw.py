@@ -1,11 +1,16 @@
 """Embedding near duplicates by hierarchical navigable small-world graphs.
 
-Vectors are spread over shards by a hash, and each shard builds a graph of its
-own. Every vector queries every shard. A query whose beam is full of near
-duplicates has its beam widened until the worst of it is none. An audit compares what a sample of
-queries found with what an exact scan of all vectors finds; while it falls
-short, all beams are widened and the queries run again. Cosines are
-verified on the vectors, and the pairs united to components.
+Equal vectors are one. The others are spread over shards by a hash; each shard builds a
+graph of its own and joins what lies near each other in it to groups. Every
+vector then queries every shard for the groups that it is near to: what
+is united in the end are links to groups, as many as there are vectors and shards, and never
+all pairs of a cluster. A query whose beam is full of near duplicates may miss a
+group beyond them; it is answered by the exact cosines with the whole shard.
+
+An audit compares what a sample of queries finds with the exact answer of every
+shard. Each sampled vector is asked for together with one made at just the threshold from it,
+so that there is always something to be found. While too little is, all beams
+are widened; past WIDEST all queries are answered exactly.
 
 Searches run for many queries at once, a step of each at a time.
 """
@@ -17,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, column, components, lean
 
 THRESHOLD = 0.95
-#: Vectors of a shard and of a block of queries, about.
-SHARD, BLOCK = 16384, 4096
-LINKS, BUILD_BEAM, BEAM = 12, 48, 32
+#: There are as many shards as the root of vectors / SHARD, so that each query visits few of them, and at least one for each MOST vectors, which bounds a graph's memory.
+SHARD, MOST = 4096, 262_144
+#: Vectors of a block of queries, about.
+BLOCK = 4096
+LINKS, BUILD_BEAM, BEAM, WIDEST = 12, 48, 32, 512
+#: Links of a node that lead far.
+FAR = 4
 RECALL, AUDIT = 0.95, 256
 
 
@@ -69,8 +78,9 @@ class Graph:
             for node, more in incoming.items():
                 old = links[node][links[node] >= 0]
                 both = np.unique(np.concatenate([old, np.array(more, dtype=np.int64)]))
-                if len(both) > width:
-                    both = self._choose(node, both, width)
+                if len(both) > width:  # the farthest stay too, as ways out of a cluster
+                    away = both[np.argsort(self.x[both] @ self.x[node], kind="stable")[:FAR]]
+                    both = np.union1d(self._choose(node, np.setdiff1d(both, away), width - FAR), away)
                 links[node] = -1
                 links[node, : len(both)] = both
             done += len(batch)
@@ -133,40 +143,122 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def hits(self, q: np.ndarray, threshold: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, cosine) at the threshold or above of the beams that aren't full of such, and the queries whose are."""
+        out, full = [], [np.zeros(0, np.int64)]
+        step = max(16, min(512, (64 << 20) // max(1, len(self.x) + 60 * width)))
+        for at in range(0, len(q), step):
+            some = q[at : at + step]
+            ids, sims = self.beam(some, self.entries(some, 0), 0, min(width, len(self.x)))
+            over = (sims[:, -1] >= threshold - 1e-5) & (width < len(self.x))
+            full.append(at + np.flatnonzero(over))
+            i, k = np.nonzero((sims >= threshold - 1e-5) & ~over[:, None])
+            sure = self.sure(some, i, ids[i, k], sims[i, k], threshold)
+            out.append((at + i[sure], ids[i, k][sure], sims[i, k][sure]))
+        a, b, c = zip(*out) if out else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)])
+        return np.concatenate(a), np.concatenate(b), np.concatenate(c), np.concatenate(full)
+
+    def sure(self, q: np.ndarray, i: np.ndarray, node: np.ndarray, s: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of these cosines reach the threshold, those close to it in double precision."""
+        out = s >= threshold + 1e-5
+        close = np.flatnonzero(~out & (s >= threshold - 1e-5))
+        out[close] = np.einsum("kd,kd->k", q[i[close]].astype(float), self.x[node[close]].astype(float)) >= threshold - 1e-6
+        return out
+
     def near(self, q: np.ndarray, threshold: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node, cosine) at the threshold or above; a beam of nothing else is doubled."""
-        out = []
-        todo = np.arange(len(q))
-        while len(todo):
-            again = []
-            step = max(16, min(512, (64 << 20) // max(1, len(self.x) + 60 * width)))
-            for at in range(0, len(todo), step):
-                block = todo[at : at + step]
-                ids, sims = self.beam(q[block], self.entries(q[block], 0), 0, min(width, len(self.x)))
-                full = (sims[:, -1] >= threshold - 1e-5) & (width < len(self.x))
-                again.append(block[full])
-                i, k = np.nonzero((sims >= threshold - 1e-5) & ~full[:, None])
-                out.append((block[i], ids[i, k], sims[i, k]))
-            todo, width = np.concatenate(again), width * 2
-        a, b, c = zip(*out) if out else ([np.zeros(0, np.int64)],) * 3
-        return np.concatenate(a), np.concatenate(b), np.concatenate(c)
-
-
-def _vectors(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
-    """The vectors of a batch in one matrix, scaled to length 1."""
-    v = column(batch, name)
-    x = v.flatten().to_numpy().astype(np.float32).reshape(len(v), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _blocks(build: bool):
-    """Over rows sorted by (dim, part): one row of pickled ids and vectors, or graph, for each part."""
+        """(query, node, cosine) at the threshold or above; queries with full beams are answered exactly."""
+        a, b, c, full = self.hits(q, threshold, width)
+        parts = [(a, b, c)]
+        for at in range(0, len(full), 256):
+            rows = full[at : at + 256]
+            s = q[rows] @ self.x.T
+            i, k = np.nonzero(s >= threshold - 1e-5)
+            sure = self.sure(q[rows], i, k, s[i, k], threshold)
+            parts.append((rows[i[sure]], k[sure], s[i, k][sure]))
+        return tuple(np.concatenate(z) for z in zip(*parts))
+
+    def group(self, threshold: float) -> None:
+        """Sets labels: nodes that near duplicates join share the least of them."""
+        n = len(self.x)
+        own = np.arange(n)
+
+        def root(i: int) -> int:
+            while own[i] != i:
+                own[i] = own[own[i]]
+                i = own[i]
+            return i
+
+        def unite(a: np.ndarray, b: np.ndarray) -> None:
+            for i, j in zip(a.tolist(), b.tolist()):
+                i, j = root(i), root(j)
+                own[max(i, j)] = min(i, j)
+
+        a, b, _, full = self.hits(self.x, threshold, min(BEAM, n))
+        unite(a, b)
+        if len(full):  # their nearest first, so that few groups are left to be told apart
+            for at in range(0, len(full), 256):
+                rows = full[at : at + 256]
+                links = self.links[0][rows]
+                i, k = np.nonzero(links >= 0)
+                s = np.einsum("kd,kd->k", self.x[rows[i]], self.x[links[i, k]])
+                near = self.sure(self.x[rows], i, links[i, k], s, threshold)
+                unite(rows[i[near]], links[i, k][near])
+        self.labels = np.array([root(i) for i in range(n)], dtype=np.int64)
+        unite(*self.exact(self.x, full, threshold))
+        self.labels = np.array([root(i) for i in range(n)], dtype=np.int64)
+
+    def exact(self, q: np.ndarray, rows: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, label) of the groups that these queries are near to, by all cosines."""
+        order = np.argsort(self.labels, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(self.labels[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+        x, names = self.x[order], self.labels[order][starts]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(16, (16 << 20) // max(1, len(x)))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            best = np.maximum.reduceat(q[some] @ x.T, starts, axis=1)
+            i, k = np.nonzero(best >= threshold - 1e-6)
+            out.append((some[i], names[k]))
+        return tuple(np.concatenate(z) for z in zip(*out))
+
+    def near_groups(self, q: np.ndarray, threshold: float, width: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, label), each once, of the groups that the queries are near to."""
+        if exact:
+            return self.exact(q, np.arange(len(q)), threshold)
+        a, b, _, full = self.hits(q, threshold, width)
+        both = np.unique(np.column_stack([a, self.labels[b]]), axis=0)
+        c, d = self.exact(q, full, threshold)
+        return np.concatenate([both[:, 0], c]), np.concatenate([both[:, 1], d])
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    """The unit vectors of a batch in one matrix."""
+    v = column(batch, "v")
+    return v.flatten().to_numpy().astype(np.float32).reshape(len(v), -1)
+
+
+def at_threshold(x: np.ndarray, threshold: float, seed: int = 11) -> np.ndarray:
+    """For each vector one in a random direction from it, just within the threshold."""
+    u = np.random.default_rng(seed).standard_normal(x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    size = np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = min(1.0, threshold + 0.1 * (1 - threshold))
+    made = cosine * x + np.sqrt(1 - cosine**2) * u / np.maximum(size, 1e-9)
+    return np.where(size > 1e-6, made, x).astype(np.float32)
+
+
+def _blocks(build: float | None, audit: float | None = None):
+    """Over rows sorted by (dim, part): one row of pickled ids and vectors, or graph (grouped at the threshold build), for each part; for an audit, also vectors at its threshold."""
 
     def pack(key: tuple, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(batches).combine_chunks().sort_by("id").to_batches()[0]
-        x = _vectors(whole)
-        made = (column(whole, "id").to_numpy(), Graph(x) if build else x)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pickle.dumps(made, protocol=5)], pa.binary())], names=["dim", "part", "made"])
+        ids, made = column(whole, "id").to_numpy(), _vectors(whole)
+        if audit is not None:
+            made = np.concatenate([made, at_threshold(made, audit)])
+        if build is not None:
+            made = Graph(made)
+            made.group(build)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pickle.dumps((ids, made), protocol=5)], pa.binary())], names=["dim", "part", "made"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -186,9 +278,20 @@ def _blocks(build: bool):
     return run
 
 
-def _query(threshold: float, width: int, audit_only: bool, audit: set):
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over graphs: (a, b) of each vector and the one that its group is named after."""
+    for batch in batches:
+        for made in column(batch, "made"):
+            ids, graph = pickle.loads(made.as_py())
+            some = np.flatnonzero(graph.labels != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[graph.labels[some]]), pa.array(ids[some])], names=["a", "b"])
+
+
+def _query(threshold: float, width: int, exact: bool, audit: bool):
+    """Over blocks of queries with graphs: (a, b) of a vector and the one that a group near it is named after; in an audit (share, n) of a block, the sum of the shares of groups found and the queries that have any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph = None, None
+        last, held = None, None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
@@ -197,89 +300,74 @@ def _query(threshold: float, width: int, audit_only: bool, audit: set):
                 ids, x = pickle.loads(column(row, "q_made")[0].as_py())
                 key = (column(row, "dim")[0].as_py(), column(row, "part")[0].as_py())
                 if key != last:
-                    graph, last = pickle.loads(column(row, "made")[0].as_py()), key
-                if audit_only:
-                    some = np.isin(ids, list(audit))
-                    ids, x = ids[some], x[some]
-                if not len(ids):
-                    continue
-                i, node, _ = graph[1].near(x, threshold, width)
-                a, b = ids[i], graph[0][node]
-                cos = np.einsum("kd,kd->k", x[i].astype(float), graph[1].x[node].astype(float))
-                keep = (cos >= threshold - 1e-6) & (a != b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(cos[keep])], names=["a", "b", "cosine"])
-
-    return run
-
-
-def _scan(ids: np.ndarray, vectors: list[np.ndarray], threshold: float):
-    """Of the audit's vectors, all pairs at the threshold, by comparing them with every vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = column(batch, "dim").to_numpy()
-            for d in np.unique(dims):
-                part = batch.filter(pa.array(dims == d))
-                own = [k for k, v in enumerate(vectors) if len(v) == d]
-                if not own:
+                    held, last = pickle.loads(column(row, "made")[0].as_py()), key
+                i, label = held[1].near_groups(x, threshold, width, exact)
+                if audit:
+                    n = len(held[0])
+                    want = np.unique(np.stack(held[1].exact(x, np.arange(len(x)), threshold), 1) @ np.array([n, 1]))
+                    asked, times = np.unique(want // n, return_counts=True)
+                    found = np.bincount(np.searchsorted(asked, want[np.isin(want, i * n + label)] // n), minlength=len(asked))
+                    yield pa.RecordBatch.from_arrays([pa.array([float((found / times).sum())]), pa.array([len(asked)], pa.int64())], names=["share", "n"])
                     continue
-                s = np.stack([vectors[k] for k in own]) @ _vectors(part).T
-                i, j = np.nonzero(s >= threshold)
-                a, b = ids[own][i], column(part, "id").to_numpy()[j]
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+                a, b = ids[i], held[0][label]
+                keep = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return run
 
 
-def pairs(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
-    """(a, b, cosine) with a < b of vectors (id, v, dim), each id once and each v of length above 0."""
+def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b) whose closure are the near duplicates among unit vectors (id, v, dim), each id once."""
     scratch = scratch or Scratch(vectors.sparkSession, "hnsw")
     n = vectors.count()
-    shards, blocks = max(1, round(n / SHARD)), max(1, -(-n // BLOCK))
-
-    def parts(count: int, seed: int, build: bool) -> DataFrame:
-        spread = vectors.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int"))
-        return scratch.save(spread.repartition(count, "dim", "part").sortWithinPartitions("dim", "part").select("dim", "part", "id", "v").mapInArrow(lean(_blocks(build)), "dim int, part int, made binary"))
-
-    graphs = parts(shards, 1, True)
-    queries = parts(blocks, 2, False).select(F.col("dim").alias("q_dim"), F.col("part").alias("q_part"), F.col("made").alias("q_made"))
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).select("id", "v").collect()
-    ids = np.array([r.id for r in sample], dtype=np.int64)
-    units = [np.array(r.v, dtype=np.float32) / np.linalg.norm(np.array(r.v, dtype=np.float32)) for r in sample]
-    true = vectors.select("id", "v", "dim").mapInArrow(lean(_scan(ids, units, threshold + 1e-4)), "a long, b long").collect()
-    want = {(r.a, r.b) for r in true}
-    work = queries.repartition(blocks).crossJoin(graphs.repartition(shards))
-    width = BEAM
-    while True:
-        audited = work.mapInArrow(lean(_query(threshold, width, True, set(ids.tolist()))), "a long, b long, cosine double").select("a", "b").collect() if want else []
-        got = {(r.a, r.b) for r in audited}
-        if len(want & got) >= recall * len(want) or width >= 2 * SHARD:
+    shards, blocks = max(1, round((n / SHARD) ** 0.5), -(-n // MOST)), max(1, -(-n // BLOCK))
+
+    def parts(df: DataFrame, count: int, seed: int, **how) -> DataFrame:
+        spread = df.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int"))
+        return scratch.save(spread.repartition(count, "dim", "part").sortWithinPartitions("dim", "part").select("dim", "part", "id", "v").mapInArrow(lean(_blocks(**how)), "dim int, part int, made binary"))
+
+    asking = lambda df: df.select(F.col("dim").alias("q_dim"), F.col("made").alias("q_made"))
+    graphs = parts(vectors, shards, 1, build=threshold)
+    sample = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT)
+    audit = asking(parts(sample, 1, 2, build=None, audit=threshold)).crossJoin(graphs.repartition(shards))
+    width, exact = BEAM, False
+    while not exact:
+        share, asked = audit.mapInArrow(lean(_query(threshold, width, False, True)), "share double, n long").agg(F.sum("share"), F.sum("n")).first()
+        if not asked or share >= recall * asked:
             break
-        width *= 2
-    found = work.mapInArrow(lean(_query(threshold, width, False, set())), "a long, b long, cosine double")
-    out = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    return scratch.save(out)
+        width, exact = width * 2, width >= WIDEST
+    work = asking(parts(vectors, blocks, 2, build=None)).repartition(blocks).crossJoin(graphs.repartition(shards))
+    found = work.mapInArrow(lean(_query(threshold, width, exact, False)), "a long, b long")
+    return scratch.save(found.union(graphs.select("made").mapInArrow(lean(_groups), "a long, b long")))
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """(id, v, dim) of the vectors that have a direction; of several of one id the least."""
+    """(id, v, dim), v of length 1, of the vectors that have a direction; of several of one id the least."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     base = df.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
-    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    fine = base.where(norm.isNotNull() & ~F.isnan(norm) & (norm > 0) & (norm < float("inf")))
-    return fine.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    # scaled by the greatest member first, so that no square is too large or too small
+    most = F.array_max(F.transform("v", F.abs))
+    fine = base.where(~F.exists("v", lambda x: x.isNull())).withColumn("most", most).where((F.col("most") > 0) & (F.col("most") < float("inf")))
+    one = fine.groupBy("id").agg(F.min(F.struct("v", "most")).alias("s")).select("id", F.transform("s.v", lambda x: x / F.col("s.most")).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    unit = one.withColumn("length", length).select("id", F.transform("v", lambda x: (x / F.col("length")).cast("float")).alias("v"))
+    return unit.withColumn("dim", F.size("v"))
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id and component of every distinct vec_id; component is the least vec_id that near duplicates lead to.
 
     A vector that is null, empty, zero, not finite or has a null member is a component of its
-    own, as is one without near duplicates. Vectors of other lengths are
-    never compared. A null vec_id is left out; of several vectors of one vec_id the
-    least counts. Other columns are ignored.
+    own, as is one without near duplicates; length, from the least to the greatest that a
+    double holds, doesn't matter. Vectors of other dimensions are never compared. A
+    null vec_id is left out; of several vectors of one vec_id the
+    least counts; repeated rows and equal vectors are near duplicates, in whatever order. Other
+    columns are ignored, and an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "hnsw")
-    vectors = scratch.save(usable(df))
-    groups = components(pairs(vectors, threshold, recall, scratch), scratch)
+    vectors = scratch.save(usable(df).withColumn("first", F.min("id").over(Window.partitionBy("v"))))
+    equal = vectors.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    found = links(vectors.where("id = first").select("id", "v", "dim"), threshold, recall, scratch)
+    groups = components(found.union(equal), scratch)
     ids = df.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
     return ids.join(groups, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("component", "vec_id").alias("component"))
