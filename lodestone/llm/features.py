@@ -33,6 +33,11 @@ class Tokens:
     shapes: pa.Array
     lengths: np.ndarray
 
+    def rows(self, keep: np.ndarray) -> Tokens:
+        """The tokens of the texts that the mask keeps."""
+        own, at = keep[self.doc], np.cumsum(keep) - 1
+        return Tokens(int(keep.sum()), at[self.doc[own]], self.code[own], self.words, self.shapes, self.lengths)
+
     @property
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n)
@@ -118,21 +123,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, seed: int) -
     """doc_id, text, quality and toxic of up to bound labelled documents, the same ones whenever the tables are the same.
 
     Labels with a null and documents without a text are left out; of several labels
-    of one doc_id the greatest counts. Only the bounded sample, never the labels as
+    of one doc_id the greatest counts, of several texts that of the greatest hash. Only the bounded sample, never the labels as
     a whole, is broadcast.
     """
-    some = thinned(labels.select("doc_id", "quality", "toxic").na.drop(), bound, F.xxhash64("doc_id", F.lit(seed)))
-    one = some.groupBy("doc_id").agg(*(F.max(x).cast("long").alias(x) for x in ("quality", "toxic")))
-    some = one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
+    one = labels.select("doc_id", "quality", "toxic").na.drop().groupBy("doc_id").agg(*(F.max(x).cast("long").alias(x) for x in ("quality", "toxic")))
+    some = thinned(one, bound, F.xxhash64("doc_id", F.lit(seed))).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality", "toxic")
+    found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    return found.select("doc_id", "text", "quality", "toxic")
 
 
 def thinned(df: DataFrame, bound: int, key: Column) -> DataFrame:
-    """The rows of the least keys, about twice the bound of them, so that a later sort and limit handles few rows however many there are."""
+    """The rows of the least keys, well over the bound of them, so that a later sort by the key and limit to the bound gives what it gave on all rows, from few."""
     small_batches(df.sparkSession)
     n = df.count()
-    return df if n <= 2 * bound else df.where(key <= F.lit(int(-(2**63) + 2**64 * (2 * bound / n))).cast("long"))
+    share = (2 * bound + 100) / max(n, 1)
+    return df if share >= 1 else df.where(key <= F.lit(int(-(2**63) + 2**64 * share)).cast("long"))
 
 
 def settled(sample: pa.Table) -> pa.Table:

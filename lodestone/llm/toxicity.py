@@ -3,7 +3,9 @@
 The categories are predicted one after another by linear models; each model has
 the probabilities of the categories before it among its features. In training
 these are out-of-fold predictions, so that a later model sees them as they will
-be on new documents. The labelled table has two categories, low quality and
+be on new documents. What a fold's models see of a held-out row, they see
+without its labels: features are selected, and the third category is defined, on
+the rows of the fold's training part alone. The labelled table has two categories, low quality and
 toxic; severe toxicity is a toxic document with several distinct words that
 the selection finds on toxic documents. Near copies in the sample count once.
 """
@@ -66,6 +68,15 @@ def pick_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] / 2)
 
 
+def prepared(t: X.Tokens, low: np.ndarray, toxic: np.ndarray, own: np.ndarray) -> tuple[X.Selected, np.ndarray]:
+    """The features selected on the rows of the mask, and the labels of these rows, a column a category."""
+    part = t.rows(own)
+    chosen = X.select(part, np.column_stack([low, toxic])[own].astype(float))
+    doc, feature, _ = X.bag(part, chosen.vocabulary)
+    marked = np.bincount(doc[np.isin(feature, np.flatnonzero(chosen.z[1] >= 8))], minlength=part.n) >= SEVERE
+    return chosen, np.column_stack([low[own], toxic[own], toxic[own] & marked])
+
+
 def train(sample: pa.Table, seed: int = 13) -> Chain | None:
     """The chain, or None where the sample lacks toxic or other documents."""
     if sample.num_rows:
@@ -76,23 +87,19 @@ def train(sample: pa.Table, seed: int = 13) -> Chain | None:
         return None
     low = sample["quality"].to_numpy().astype(float) <= 0
     t = X.tokens(sample["text"])
-    chosen = X.select(t, np.column_stack([low, toxic]).astype(float))
-    marks = np.flatnonzero(chosen.z[1] >= 8)
-    doc, feature, _ = X.bag(t, chosen.vocabulary)
-    severe = toxic & (np.bincount(doc[np.isin(feature, marks)], minlength=t.n) >= SEVERE)
-    x = chosen.matrix(None, t)
-    fold = np.random.default_rng(seed).permutation(len(x)) % FOLDS
-    weights, cut = [], 2.0
-    for name, y in zip(CATEGORIES, (low, toxic, severe)):
-        held = np.zeros(len(x))
-        for k in range(FOLDS):
-            w, b = X.fit(x[fold != k], y[fold != k])
-            held[fold == k] = X.sigmoid(x[fold == k] @ w + b)
-        weights.append(X.fit(x, y))
-        if name == "toxic":
-            cut = pick_threshold(held, toxic, PRECISION)
-        x = np.column_stack([x, X.logit(held).astype(np.float32)])
-    return Chain(chosen, weights, cut)
+    fold = np.random.default_rng(seed).permutation(t.n) % FOLDS
+    parts = [prepared(t, low, toxic, fold != k) for k in range(FOLDS)]
+    held = np.zeros((t.n, len(CATEGORIES)))
+    for c in range(len(CATEGORIES)):
+        for k, (chosen, labels) in enumerate(parts):
+            x = np.column_stack([chosen.matrix(None, t), X.logit(held[:, :c]).astype(np.float32)])
+            w, b = X.fit(x[fold != k], labels[:, c])
+            held[fold == k, c] = X.sigmoid(x[fold == k] @ w + b)
+    chosen, labels = prepared(t, low, toxic, np.ones(t.n, bool))
+    x = np.column_stack([chosen.matrix(None, t), X.logit(held).astype(np.float32)])
+    width = x.shape[1] - len(CATEGORIES)
+    weights = [X.fit(x[:, : width + c], labels[:, c]) for c in range(len(CATEGORIES))]
+    return Chain(chosen, weights, pick_threshold(held[:, 1], toxic, PRECISION))
 
 
 def with_scores(docs: DataFrame, chain: Chain | None, prefix: str = "") -> DataFrame:
@@ -124,8 +131,9 @@ def model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int = 1
 def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int = 13) -> DataFrame:
     """doc_id, a probability for each category and is_toxic, for every row of docs.
 
-    A null text has null probabilities, one without a token has 0; neither is
-    toxic. Where the labels don't have both toxic and other documents, no row is
+    Severe toxicity is no label of its own: it is a label of toxic on a document with
+    SEVERE of the words found on toxic documents. A null text has null probabilities, one without a token has 0; neither is
+    toxic. Long texts are scored whole. A probability equal to the threshold is toxic. An empty table of documents gives no rows. Where the labels don't have both toxic and other documents, no row is
     toxic and all probabilities are null. Repeated rows and equal or null
     doc_ids keep a row each; other columns of either table are ignored.
     """
