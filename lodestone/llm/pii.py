@@ -3,8 +3,10 @@
 Generators propose every span that might be personal data, freely and
 overlapping. Gradient-boosted trees score each from its format (lengths, digit
 groups, checksums, entropy) and its context (the words and signs around it). The scores are
-calibrated on held-out candidates, each kind gets the least threshold that is
-precise enough there, and of overlapping spans that pass the likeliest is redacted.
+calibrated on held-out candidates; each kind's threshold is the cut of best F1
+among those that are precise enough there, halfway to the next lower score. Of
+overlapping spans that pass the likeliest is redacted, of equally likely ones the
+longest, then the first.
 
 The training candidates are made here: values of each kind and look-alikes
 (versions, dates, amounts, order numbers, identifiers) are written into the
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm import features as X
 from lodestone.llm.common import column, lean, slices
+from lodestone.llm.toxicity import pick_threshold
 
 KINDS = ("email", "phone", "ip", "card", "secret", "ssn", "iban")
 #: Documents whose texts carry the training candidates, and candidates written of each kind and look-alike.
@@ -50,8 +53,8 @@ GENERATORS = [
     (5, re.compile(r"(?<![\w.-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])")),
     (6, re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)")),
 ]
-#: Texts without any of this have no candidate; a long run of letters alone is no secret.
-TRIGGER = r"[\pN@]|(?i:(?:pass|pwd|token|secret|credential|key|auth|bearer)[\w-]*[\"']?\s*(?:[=:]|\bis\b))"
+#: Texts without any of this have no candidate; a long run of letters alone is no secret unless its cases change within.
+TRIGGER = r"[\pN@]|[a-z][A-Z]|(?i:(?:pass|pwd|token|secret|credential|key|auth|bearer)[\w-]*[\"']?\s*(?:[=:]|\bis\b))"
 TELLING = [
     re.compile(r"(?i)e-?mail|mail|contact|write to"),
     re.compile(r"(?i)phone|tel\b|call|fax|mobile|cell|whatsapp"),
@@ -61,6 +64,7 @@ TELLING = [
     re.compile(r"(?i)ssn|social|security|insured"),
     re.compile(r"(?i)iban|account|bank|transfer"),
 ]
+PASSWORD = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd)\w*[\"']?\s*(?:[=:]|is)\s*[\"']?$")
 OTHER = re.compile(r"(?i)version|release|\bv\b|\bv\.|isbn|order|ref|invoice|figure|table|section|page|\bno\.?|licen|\bcc\b|date|year|since|total|build|commit|\bid\b|serial|item")
 
 
@@ -81,7 +85,7 @@ def iban_valid(value: str) -> bool:
 
 
 #: Every candidate holds, or follows at once on, one of these.
-SEED = re.compile(r"[0-9@]|(?i:pass|pwd|token|secret|credential|key|auth|bearer)\w*[\"']?\s{0,2}(?:[=:]|is\b)")
+SEED = re.compile(r"[0-9@]|[a-z][A-Z]|(?i:pass|pwd|token|secret|credential|key|auth|bearer)\w*[\"']?\s{0,2}(?:[=:]|is\b)")
 WHITE = re.compile(r"\s")
 
 
@@ -105,6 +109,14 @@ def regions(text: str, margin: int = 64) -> Iterator[tuple[int, int]]:
         yield start, stop
 
 
+MIXED = re.compile(r"[a-z][A-Z]")
+
+
+def opaque(token: str) -> bool:
+    """Whether a token that nothing names may be a secret: letters with digits, or a long one whose cases change within."""
+    return any(c.isdigit() for c in token) or len(token) >= 20 and bool(MIXED.search(token))
+
+
 def propose(text: str) -> list[tuple[int, int, int]]:
     """(start, stop, kind) of every candidate; they may overlap."""
     parts = list(regions(text))
@@ -118,7 +130,7 @@ def propose(text: str) -> list[tuple[int, int, int]]:
                     e -= 1
             if kind == 4 and not named:
                 continue
-            if kind == 4 and m.start() == s and (text[s:e].isalpha() or not any(c.isdigit() for c in text[s:e])):
+            if kind == 4 and m.start() == s and not opaque(text[s:e]):
                 continue
             while kind == 4 and e > s and text[e - 1] in ".)]}":
                 e -= 1
@@ -149,7 +161,7 @@ def describe(text: str, start: int, stop: int, kind: int) -> list[float]:
         float(12 <= nd <= 19 and luhn(digits)), float(octets), float(parts[0].lstrip("0") == parts[0]) if octets else 0.0, float(iban_valid(v)),
         float(v.startswith("+")), v.count("(") + v.count(")"), v.count("-"), v.count("."), v.count(" "), v.count("/"), v.count(":"), v.count("_"),
         float(bool(re.fullmatch(r"[0-9a-fA-F]+", v))), float("@" in v and bool(re.fullmatch(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", domain))), len(domain.rpartition(".")[2]) if domain else 0, len(local),
-        float(bool(TELLING[kind].search(before))), float(bool(OTHER.search(before))), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'"),
+        float(bool(TELLING[kind].search(before))), float(bool(PASSWORD.search(before))), float(v.isalpha()), float(bool(MIXED.search(v))), float(bool(OTHER.search(before))), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'"),
         float(not before or before[-1].isspace()), float(not after or after[0].isspace()), float(after[:1] in "\"'"), float(after[:1] in ".,!?"), float(before[-1:] in "$€£#§"), float(after[:1] in "%°"),
         float(first in range(1900, 2100)), float(bool(re.fullmatch(r"(19|20)\d\d[-/. ]\d{1,2}[-/. ]\d{1,2}|\d{1,2}[-/. ]\d{1,2}[-/. ](19|20)\d\d", v))),
     ]
@@ -180,6 +192,9 @@ def _iban(r: random.Random) -> str:
 
 def _secret(r: random.Random) -> str:
     al = r.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+    if r.random() < 0.15:
+        al = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        return r.choice(["", "sk_", "ghp_"]) + "".join(r.choice(al) for _ in range(r.choice([24, 32, 36, 40])))
     return r.choice(["", "", "sk_", "AKIA", "ghp_"]) + "".join(r.choice(al) for _ in range(r.choice([16, 18, 20, 24, 32, 36, 40, 64])))
 
 
@@ -212,12 +227,20 @@ def _positive(kind: int, r: random.Random, words: list[str]) -> tuple[str, str,
         return r.choice(["", "", "", "card ", "visa "]), _card(r), r.choice(["", "", ".", ","])
     if kind == 4:
         v = _secret(r)
-        name = r.choice(["password", "token", "secret", "api_key", "key", "pwd", "access_key"])
-        if r.random() < 0.15:
-            v, q = _word(r, words)[:9] + r.choice("!$#%&") * r.randint(0, 1) + _digits(r, r.randint(1, 4)), q or '"'
-        elif r.random() < 0.4:
+        name = r.choice(["password", "token", "secret", "api_key", "key", "pwd", "access_key", "client_secret", "auth_token", "credential"])
+        mark = r.choice(["=", " = ", ": ", ":"])
+        kind_of = r.random()
+        if kind_of < 0.2:  # a password with digits or signs
+            name, mark = r.choice(["password", "passwd", "pwd", "pass", "Password", "passphrase", "PASSWORD"]), r.choice([mark, mark, " is "])
+            v = _word(r, words)[:9] + r.choice("!$#%&") * r.randint(0, 1) + _digits(r, r.randint(1, 4))
+        elif kind_of < 0.3:  # one of letters alone
+            name = r.choice(["password", "passwd", "pwd", "Password", "passphrase", "PASSWORD"])
+            while len(v := _word(r, words).lower() + _word(r, words).lower()) < 10 or not v.isalpha():
+                words = [*words, "correct", "horse", "battery", "staple"]
+            v = v[:20]
+        elif kind_of < 0.6:
             return "", v, r.choice(["", ".", ","])
-        return f"{name}{r.choice(['=', ' = ', ': '])}{q}", v, q
+        return f"{name}{mark}{q}", v, q
     if kind == 5:
         return r.choice(["", "", "ssn ", "social security "]), f"{r.randint(100, 899)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", r.choice(["", ".", ","])
     return r.choice(["", "", "iban ", "account "]), _iban(r), r.choice(["", ".", ","])
@@ -240,7 +263,11 @@ def _negative(r: random.Random, words: list[str]) -> tuple[str, str, str]:
         lambda: ("", "-".join(_word(r, words).lower() for _ in range(3)) + f"-{r.randint(1, 99)}", ""),
         lambda: ("", f"{_word(r, words)}{_word(r, words)}{_word(r, words)}{r.randint(1, 9)}", ""),
         lambda: ("", f"{_word(r, words)}/{_word(r, words)}/{_word(r, words)}{r.randint(1, 20)}", ""),
-        lambda: (r.choice(["key: ", "token: ", "the secret is ", "password is ", "the key is ", "token = "]), r.choice(["none", "null", "required", "missing", _word(r, words).lower(), _word(r, words).lower()]), r.choice(["", ".", ","])),
+        lambda: (r.choice(["key: ", "token: ", "the secret is ", "password is ", "the key is ", "token = ", "password: ", "password = "]), r.choice(["none", "null", "required", "missing", "changed", "reset", "unknown", "true", "false", _word(r, words).lower()[:8]]), r.choice(["", ".", ","])),
+        lambda: (r.choice(["the secret is ", "the key is ", "a token is ", "key: ", "the password is "]), _word(r, words).lower(), r.choice(["", ".", ",", " of it"])),
+        lambda: ("", _word(r, words) + _word(r, words).capitalize() + _word(r, words).capitalize() + r.choice(["", _word(r, words).capitalize()]), r.choice(["", ".", "("])),
+        lambda: ("", "".join(_word(r, words).capitalize() for _ in range(r.randint(2, 4))), ""),
+        lambda: (r.choice(["commit ", "build ", "id "]), "-".join(_digits(r, 4) for _ in range(2)) + f"-{_word(r, words).lower()}", ""),
         lambda: ("", f"{_word(r, words)}@{r.choice([_word(r, words), '', '3pm', 'home'])}", ""),
         lambda: ("", f"@{_word(r, words)}", ""),
         lambda: ("", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", ""),
@@ -401,11 +428,8 @@ def train(texts: list[str], each: int = EACH, seed: int = 3) -> Redactor:
     p = out.score(x[held])
     for k in range(len(KINDS)):
         mine = x[held][:, 0] == k
-        s, t = p[mine], yh[mine]
-        for cut in np.arange(0.3, 0.96, 0.05):
-            out.thresholds[k] = cut
-            if t[s >= cut].size and t[s >= cut].mean() >= PRECISION:
-                break
+        if yh[mine].any():
+            out.thresholds[k] = pick_threshold(p[mine], yh[mine], PRECISION)
     return out
 
 
@@ -447,7 +471,8 @@ def redact(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """doc_id, text with <KIND> for each redacted span, n_redacted, and spans (places in the old text, in characters).
 
     A null text stays null, with null for n_redacted and spans; an empty one has
-    none. Any length of text is searched whole; repeated rows and equal or null
+    none. Of overlapping spans the likeliest is redacted, then the longest, then the
+    first. Any length of text is searched whole; repeated rows and equal or null
     doc_ids keep a row each; other columns are ignored; an empty table gives an
     empty one.
     """
