@@ -34,8 +34,8 @@ TARGET = (0.92, 0.08, 0.0)
 SAMPLE = 8192
 RIDGE = 1e-3
 #: The fit ends when no domain's share of the tokens is further from its target than this, when
-#: the steps move none by more than a quarter of it, or after so many steps.
-TOLERANCE, STEPS = 1e-4, 60
+#: the steps move none by more than a quarter of it; where it hasn't after so many steps, that is an error.
+TOLERANCE, STEPS = 1e-4, 200
 
 
 class Posterior:
@@ -95,11 +95,12 @@ def totals(slim: DataFrame, duals: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return both[: len(DOMAINS)], both[len(DOMAINS) :]
 
 
-def fit_rates(slim: DataFrame, target: np.ndarray) -> list[np.ndarray]:
+def fit_rates(slim: DataFrame, target: np.ndarray, grow: bool = True) -> list[np.ndarray]:
     """The sums less the target of each step, from which rates() gives any document's rate.
 
-    Where the first domain has more than its share already, all targets are raised in proportion
+    Where the first domain has more than its share already and grow is set, all targets are raised in proportion
     until it needs no thinning: the mixture grows by the others rather than lose what it wants most.
+    A fit that doesn't settle within STEPS steps raises RuntimeError.
     """
     n = slim.agg(F.sum("n_tokens")).first()[0] or 0
     duals: list[np.ndarray] = []
@@ -109,34 +110,43 @@ def fit_rates(slim: DataFrame, target: np.ndarray) -> list[np.ndarray]:
     for _ in range(STEPS):
         at_r, at_y = totals(slim, duals)
         s = at_r / n
-        if last is None and target[0] > 0:
+        if grow and last is None and target[0] > 0:
             target = target * max(1.0, s[0] / target[0])
         if np.abs(s - target).max() < TOLERANCE or (last is not None and np.abs(s - last).max() < TOLERANCE / 4):
             break
         last = s
         duals.append(at_y / n - target)
+    else:
+        raise RuntimeError(f"the rates haven't settled within {STEPS} steps")
     return duals
 
 
-def _posteriors(docs: DataFrame, posterior: Posterior) -> DataFrame:
-    names = ["n_tokens", *(f"p_{d}" for d in DOMAINS)]
+def _posteriors(docs: DataFrame, posterior: Posterior, prefix: str = "") -> DataFrame:
+    """docs with n_tokens and a posterior for each domain behind its columns, each under the prefix."""
+    names = [f"{prefix}{n}" for n in ("n_tokens", *(f"p_{d}" for d in DOMAINS))]
+    kinds = [T.LongType(), *[T.DoubleType()] * len(DOMAINS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 p, n = posterior(column(batch, "text"))
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 
-def _with_rates(slim: DataFrame, duals: list[np.ndarray]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r, _ = rates(_matrix(batch), duals)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
+def rate_of(duals: list[np.ndarray], prefix: str = "") -> F.Column:
+    """rates() as an expression over the posteriors, so that rows needn't pass through Python again."""
+    if not duals:
+        return F.lit(1.0)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(0.0).alias("k"))
 
-    return slim.mapInArrow(lean(run), T.StructType([*slim.schema, T.StructField("rate", T.DoubleType())]))
+    def step(at: F.Column, g: F.Column) -> F.Column:
+        dot = sum(F.col(f"{prefix}p_{d}") * g[i] for i, d in enumerate(DOMAINS))
+        r = F.greatest(F.lit(0.0), at["y"] - (dot + RIDGE * (at["y"] - 1)) / (1 + RIDGE))
+        return F.struct(r.alias("r"), (r + at["k"] / (at["k"] + 3) * (r - at["r"])).alias("y"), (at["k"] + 1).alias("k"))
+
+    return F.aggregate(F.array(*(F.array(*map(F.lit, g.tolist())) for g in duals)), start, step, lambda at: at["r"])
 
 
 def copies(rate: F.Column, *key: F.Column) -> F.Column:
@@ -152,44 +162,40 @@ def _target(target) -> np.ndarray:
     return t
 
 
-def mix(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE, seed: int = 17, grow: bool = True) -> DataFrame:
     """doc_id, n_tokens, a posterior for each domain, rate and copies of every row of docs.
 
+    Shares beyond what the posteriors allow are met as nearly as the ridge lets them.
+    With grow, where the first domain has more than its share already, the other
+    targets rise in proportion instead of thinning it; without it the targets stay
+    as given. Rates that don't settle raise RuntimeError.
     Texts that are null or without a token have no tokens and the prior as
-    posterior; their rate follows from it and weighs nothing. Without labels of
+    posterior; their rate follows from it and weighs nothing. Long texts are scored whole. Without labels of
     at least two domains every posterior is the prior. Repeated rows and equal or
-    null doc_ids keep a row each; other columns are ignored; an empty table gives
+    null doc_ids keep a row each, and rows of one doc_id and rate have as many copies; other columns are ignored; an empty table gives
     an empty one.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posterior = X.trained(X.labelled_sample(base, labels, bound, seed), Posterior)
-    slim = scratch.save(_posteriors(base, posterior))
-    out = _with_rates(slim, fit_rates(slim, _target(target)))
+    slim = scratch.save(_posteriors(base, posterior).drop("text"))
+    out = slim.withColumn("rate", rate_of(fit_rates(slim, _target(target), grow)))
     shown = [F.round(c, 6).alias(c) for c in [*(f"p_{d}" for d in DOMAINS), "rate"]]
     return out.select("doc_id", "n_tokens", *shown, copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
-def apply(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE, seed: int = 17) -> DataFrame:
+def apply(docs: DataFrame, labels: DataFrame, target=TARGET, bound: int = SAMPLE, seed: int = 17, grow: bool = True) -> DataFrame:
     """The rows of docs, each as many times as its rate says, with the columns of docs.
 
-    Rates are rounded up or down by a hash of doc_id and text. The posterior is
-    worked out twice, for the fit and where the rows are written, rather than
-    joined back, so that rows without or with equal doc_ids need no care.
+    Rates are rounded up or down by a hash of doc_id and text, so that repeated
+    rows have the same fate. The rows are kept with their posteriors while the rates are fitted, so that
+    those without or with equal doc_ids need no join. All else is as in mix().
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     posterior = X.trained(X.labelled_sample(base, labels, bound, seed), Posterior)
-    slim = scratch.save(_posteriors(base, posterior))
-    duals = fit_rates(slim, _target(target))
-    scratch.drop(slim)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                r, _ = rates(posterior(column(batch, "text"))[0], duals)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "__mix_rate"])
-
-    rated = docs.mapInArrow(lean(run), T.StructType([*docs.schema, T.StructField("__mix_rate", T.DoubleType())]))
-    n = copies(F.col("__mix_rate"), F.col("doc_id"), F.col("text"))
-    return rated.withColumn("__mix_copies", n).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    scored = scratch.save(_posteriors(docs, posterior, "__mix_"))
+    slim = scored.select(*(F.col(f"__mix_{n}").alias(n) for n in ("n_tokens", *(f"p_{d}" for d in DOMAINS))))
+    rate = rate_of(fit_rates(slim, _target(target), grow), "__mix_")
+    counted = scored.withColumn("__mix_copies", copies(rate, F.col("doc_id"), F.col("text"))).where("__mix_copies > 0")
+    return counted.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
