@@ -54,6 +54,11 @@ class Bpe:
     def decode(self, ids) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
 
+    def decode_any(self, ids) -> str:
+        """The text of ids that may be none of ours: nulls are passed over, an id that isn't in the vocabulary gives U+FFFD, as do bytes that aren't UTF-8."""
+        n = len(self.pieces)
+        return b"".join([self.pieces[i] if 0 <= i < n else b"\xef\xbf\xbd" for i in ids if i is not None]).decode(errors="replace")
+
     def leaves(self, text: str, leaf: int) -> Iterator[tuple[int, bytes]]:
         """(run, bytes): leaves of one run above 0 are parts of one unsplit piece; run 0 is a text of its own."""
         at, n, run = 0, len(text), 0
@@ -240,13 +245,19 @@ def _decode_batches(path: str):
         bpe = load(path)
         for batch in batches:
             ids = column(batch, "token_ids").to_pylist()
-            texts = [None if x is None else bpe.decode([i for i in x if i is not None]).decode(errors="replace") for x in ids]
+            texts = [None if x is None else bpe.decode_any(x) for x in ids]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of every row of token_ids; null ids give a null text, and null members are passed over."""
+    """doc_id and text of every row of token_ids.
+
+    Null token_ids give a null text, an empty list an empty one. Null members are
+    passed over; an id that the vocabulary lacks, negative ones too, gives U+FFFD, as do
+    bytes that aren't UTF-8. Repeated rows and equal or null doc_ids keep a row
+    each; other columns are ignored; an empty table gives an empty one.
+    """
     cols = F.col("doc_id").cast("long").alias("doc_id"), F.col("token_ids").cast("array<int>").alias("token_ids")
-    return encoded.select(*cols).mapInArrow(_decode_batches(tokenizer_path(path)), "doc_id long, text string")
+    return encoded.select(*cols).mapInArrow(lean(_decode_batches(tokenizer_path(path))), "doc_id long, text string")

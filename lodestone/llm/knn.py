@@ -78,6 +78,11 @@ class Neighbours:
                 s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             sim = np.take_along_axis(s, best, 1)
+            last = sim.min(1, keepdims=True)
+            tied = np.flatnonzero((s == last).sum(1) > (sim == last).sum(1))
+            if len(tied):  # more are as near as the last: those of the least doc_id vote
+                best[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+                sim[tied] = np.take_along_axis(s[tied], best[tied], 1)
             w = np.maximum(sim, 1e-6)
             score[at : at + block] = (w * self.labels[best]).sum(1) / w.sum(1)
             nearest[at : at + block] = sim.max(1)
@@ -133,8 +138,9 @@ def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, seed: int
     low quality best among the sample's own vectors, each voted on by the
     others. Null texts have null scores and aren't kept; empty texts and those
     without a known feature have score 0, nearest 0 and aren't kept. With fewer
-    than two labelled documents scores are null and every text is kept.
-    Repeated rows and equal or null doc_ids keep a row each; other columns are ignored.
+    than two labelled documents scores are null and every text is kept. Of labelled
+    documents as near as the last neighbour those of the least doc_id vote. Long texts
+    are projected whole; an empty table gives no rows. Repeated rows and equal or null doc_ids keep a row each; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = X.trained(X.labelled_sample(base, labels, bound, seed), lambda sample: train(sample, seed))
