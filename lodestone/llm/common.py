@@ -8,8 +8,10 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,15 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or, for a session within one machine, one of our own where that is unset."""
     small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written into the shared folder. They cut lineage and outlive any executor."""
 
@@ -43,7 +50,12 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # the shuffles of what is now written are of no further use
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -109,15 +121,52 @@ def slices(batch: pa.RecordBatch, name: str, limit: int = 4 << 20):
         yield batch.slice(at, step)
 
 
+#: Edges that a task joins to trees at once.
+FOREST = 2_000_000
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Of edges, as few as join the same nodes: each node with the least that it leads to."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["u", "v"])
+
+
+def _forest(batches):
+    held, n = [], 0
+    for batch in batches:
+        held.append((column(batch, "u").to_numpy(), column(batch, "v").to_numpy()))
+        n += batch.num_rows
+        if n >= FOREST:
+            yield _stars(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield _stars(*map(np.concatenate, zip(*held)))
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the edges; component is the least node reached.
 
-    Alternates large-star and small-star steps, each written to the shared folder,
+    Each task first cuts its edges to trees. Alternates large-star and small-star steps, each written to the shared folder,
     until the set of edges stops changing; null ends are left out.
     """
     now = scratch.save(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u is not null and v is not null and u <> v")
+        .mapInArrow(lean(_forest), "u long, v long")
         .distinct()
     )
     nodes = None
@@ -150,3 +199,40 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
 
 def tokenizer_path(path: str | None = None) -> str:
     return path or os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+#: Members of one component that are compared with each other at once.
+BLOCK = 1500
+
+
+def cells(pairs: DataFrame, scratch: Scratch, most: int = BLOCK) -> DataFrame:
+    """(id, component, blocks) of every node of the pairs (a, b): large components fall into blocks of about so many nodes, by _block()."""
+    groups = scratch.save(components(pairs, scratch).withColumnRenamed("node", "id"))
+    sized = groups.groupBy("component").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / most).cast("int").alias("blocks")
+    return scratch.save(groups.join(sized, "component").select("id", "component", blocks))
+
+
+def _block(name: str) -> F.Column:
+    return F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, where: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run(sets, pairs) for each two blocks of a component, of the rows of sets (id, ...) and of pairs (a, b) that lie there.
+
+    A set goes once to each block of its component instead of once to each of its pairs.
+    """
+    where = broadcast_if_small(where, where.count(), 32)
+    lo, hi = F.least(_block("id"), "other"), F.greatest(_block("id"), "other")
+    spread = sets.join(where, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("component", lo.alias("i"), hi.alias("j"), *sets.columns)
+    placed = pairs.join(where.withColumnRenamed("id", "a"), "a")
+    placed = placed.select(F.col("component").alias("component"), F.least(_block("a"), _block("b")).alias("i"), F.greatest(_block("a"), _block("b")).alias("j"), "a", "b")
+    kinds = [part.split() for part in schema.split(", ")]
+    none = pd.DataFrame({name: pd.Series(dtype={"long": "int64", "double": "float64"}[kind]) for name, kind in kinds})
+
+    def guarded(key: tuple, own: pd.DataFrame, these: pd.DataFrame) -> pd.DataFrame:
+        return run(own, these) if len(own) and len(these) else none
+
+    keys = ["component", "i", "j"]
+    return spread.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(guarded, schema)
