@@ -6,12 +6,16 @@ after it, so that chunk sizes lie close together. Boundaries follow the content,
 so that an insertion changes the chunks around it only. Fingerprints are made of
 FINE chunks of about five words, whose boundaries hang on four bytes, so that a near copy
 with an edit every few words still shares most of them. A document's fingerprint
-is the set of its chunk digests, weighted by chunk length; the containment of A
-in B is the weight of A's chunks that B has too over the weight of all of A's.
-
-Pairs are found exactly: if A is contained to the threshold, B must have one of A's
-rarest chunks, those that together outweigh what A may lack. Documents with
-equal fingerprints are one class and reported as lists.
+is the set of its chunk digests, weighted by chunk length; a chunk that returns
+has another digest each time, so that a line said ten times isn't contained in
+a text that says it once. The containment of A in B is the weight of A's
+chunks that B has too over the weight of all of A's.
+
+Two documents match where one is contained in the other to CONTAINED, or to NEAR
+and is no small part of it, COVERED at least: a short text that happens to have a common line is no near copy of
+every text with that line. Matches are found exactly: two of them share one of the
+rarest chunks, those that together outweigh what may be lacking, of one document
+or of both. Documents with equal fingerprints are one class.
 """
 
 from __future__ import annotations
@@ -20,20 +24,24 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, column, lean, list_array, slices
+from lodestone.llm.common import BROADCAST_BYTES, Scratch, cells, column, lean, list_array, slices, verified
 
 LEAST, NORMAL, MOST = 128, 512, 2048
 #: Leading zero bits that a cut needs before and after the normal size.
 HARD, EASY = 11, 7
 #: Least, normal and most bytes, leading zero bits before and after the normal size, and bytes hashed, of a fingerprint's chunks.
 FINE = (8, 24, 96, 6, 3, 4)
-#: Near copies with word-trigram Jaccard from 0.5 reach this; see the README for how many.
-CONTAINMENT = 0.4
+#: Near copies with word-trigram Jaccard from 0.5 reach the latter two; see the README for how many.
+CONTAINED, NEAR, COVERED = 0.8, 0.4, 0.3
+COLUMNS = ["contained_id", "container_id", "containment", "coverage"]
+#: Fingerprints of one component that are compared with each other at once.
+BLOCK = 3000
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 GEAR[0] = 0
 PAD = 32
@@ -85,6 +93,15 @@ def chunks(texts: list[bytes], sizes: tuple[int, ...] = (LEAST, NORMAL, MOST, HA
     return counts, out
 
 
+def numbered(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The digests, in order of (doc, digest), with the bits above the size changed where the digest stood before."""
+    new = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])) if len(keys) else np.zeros(0, bool)
+    at = np.arange(len(keys))
+    times = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    changed = keys.view(np.uint64) ^ (times * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS))
+    return changed.view(np.int64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -99,8 +116,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             doc = np.repeat(np.arange(len(texts)), counts)
             order = np.lexsort((keys, doc))
             keys, sizes, doc = keys[order], sizes[order], doc[order]
-            new = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])) if len(keys) else np.zeros(0, bool)
-            keys, sizes, doc = keys[new], sizes[new], doc[new]
+            keys = numbered(doc, keys)
+            order = np.lexsort((keys, doc))
+            keys, sizes, doc = keys[order], sizes[order], doc[order]
             n = np.bincount(doc, minlength=len(texts))
             ends = np.cumsum(n)
             own = np.array([digest(keys[e - c : e].tobytes(), seed=1) for e, c in zip(ends, n)], dtype=np.uint64).view(np.int64)
@@ -117,14 +135,39 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(lean(_fingerprints), "doc_id long, fingerprint long, weight long, digests array<long>, sizes array<int>")
 
 
-def containment(docs: DataFrame, least: float = CONTAINMENT) -> DataFrame:
-    """contained_ids, container_ids and containment of every pair of fingerprints that reaches the least containment.
-
-    Every doc_id of the first list is so far contained in every one of the
-    second. Where the lists are the same, they are documents of one fingerprint
-    (containment 1), reported where there are at least two. Rows without a doc_id,
-    a text or any chunk have no part in the result; rows of one doc_id count once for each
-    fingerprint. Other columns are ignored.
+def _common(contained: float, near: float, covered: float):
+    """Over the digests, sorted, and the pairs of one cell: the matches by their names, the one that is contained more first."""
+
+    def run(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        at = {x: k for k, x in enumerate(sets["id"])}
+        digests, weight, name = sets["digests"].to_numpy(), sets["weight"].to_numpy(), sets["name"].to_numpy()
+        out = []
+        for a, bs in pairs.groupby("a", sort=False)["b"]:
+            i, js = at[a], np.array([at[b] for b in bs])
+            one, many = np.asarray(digests[i]), [np.asarray(digests[j]) for j in js]
+            sizes, flat = np.array([len(x) for x in many]), np.concatenate(many)
+            same = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            common = np.add.reduceat(np.where(same, (flat & ((1 << SIZE_BITS) - 1)) + 1, 0), np.cumsum(sizes) - sizes)
+            first = (weight[i] < weight[js]) | (weight[i] == weight[js]) & (name[i] < name[js])
+            x, y = np.where(first, i, js), np.where(first, js, i)
+            p, q = common / weight[x], common / weight[y]
+            good = ((p >= contained) | (p >= near) & (q >= covered)) & (name[x] != name[y])
+            out.append(np.column_stack([name[x], name[y]])[good].tolist())
+            out[-1] = [(*ids, *v) for ids, v in zip(out[-1], np.column_stack([p, q])[good].round(6).tolist())]
+        return pd.DataFrame([r for rows in out for r in rows], columns=COLUMNS)
+
+    return run
+
+
+def containment(docs: DataFrame, contained: float = CONTAINED, near: float = NEAR, covered: float = COVERED) -> DataFrame:
+    """contained_id, container_id, containment (of the first in the second) and coverage (of the second by the first) of documents that match.
+
+    The first weighs no more than the second. Of documents with equal
+    fingerprints the one of the least doc_id stands for them: it has a row as
+    container of each of the others (1 and 1), and is the one that all other rows name. Rows
+    without a doc_id, a text or any chunk have no part in the result; of rows of one
+    doc_id each fingerprint counts once, and a doc_id never matches itself. Long
+    texts count whole. Other columns are ignored, and an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     # cutting twice costs less disk than keeping every chunk until the shared ones are known
@@ -135,21 +178,37 @@ def containment(docs: DataFrame, least: float = CONTAINMENT) -> DataFrame:
     # a chunk that no other document has is never a way to another; it only uses up what may be lacking
     several = rows.select("*", F.min("fingerprint").over(same).alias("low"), F.max("fingerprint").over(same).alias("high")).where("low <> high").select("digest", "fingerprint").distinct()
     common = scratch.save(several.withColumn("df", F.count("*").over(same)))
-    size = lambda d: d.bitwiseAND((1 << SIZE_BITS) - 1) + 1
-    weighed = common.withColumn("size", size(F.col("digest"))).join(classes.select("fingerprint", "weight"), "fingerprint")
+    weighed = common.withColumn("size", F.col("digest").bitwiseAND((1 << SIZE_BITS) - 1) + 1).join(classes.select("fingerprint", "weight", F.element_at("ids", 1).alias("name")), "fingerprint")
     lacking = F.col("weight") - F.sum("size").over(Window.partitionBy("fingerprint"))
-    order = Window.partitionBy("fingerprint").orderBy("df", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leading = weighed.withColumn("before", lacking + F.sum("size").over(order) - F.col("size")).where(F.col("before") <= (1 - least) * F.col("weight") + 1e-6)
-    a = leading.select("digest", F.col("fingerprint").alias("a"), F.col("weight").alias("a_weight"))
-    b = weighed.select("digest", F.col("fingerprint").alias("b"), F.col("weight").alias("b_weight"))
-    near = (F.col("a") != F.col("b")) & (F.col("b_weight") >= least * F.col("a_weight") - 1e-6)
-    pairs = a.join(b, "digest").where(near).select("a", "b", "a_weight").distinct()
-    sets = common.groupBy("fingerprint").agg(F.collect_list("digest").alias("digests"))
-    left = sets.select(F.col("fingerprint").alias("a"), F.col("digests").alias("a_digests"))
-    right = sets.select(F.col("fingerprint").alias("b"), F.col("digests").alias("b_digests"))
-    both = F.aggregate(F.array_intersect("a_digests", "b_digests"), F.lit(0).cast("long"), lambda acc, d: acc + size(d))
-    exact = pairs.join(right, "b").join(left, "a").select("a", "b", (both / F.col("a_weight")).alias("containment")).where(F.col("containment") >= least)
-    lists = classes.select("fingerprint", "ids")
-    named = exact.join(lists.select(F.col("fingerprint").alias("a"), F.col("ids").alias("contained_ids")), "a").join(lists.select(F.col("fingerprint").alias("b"), F.col("ids").alias("container_ids")), "b")
-    own = lists.where(F.size("ids") > 1).select(F.col("ids").alias("contained_ids"), F.col("ids").alias("container_ids"), F.lit(1.0).alias("containment"))
-    return named.select("contained_ids", "container_ids", F.round("containment", 6).alias("containment")).unionByName(own)
+    rarest = Window.partitionBy("fingerprint").orderBy("df", "digest")
+    before = lacking + F.sum("size").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    ordered = weighed.select("digest", "fingerprint", "weight", "name", before.alias("before"), F.lag("digest").over(rarest).alias("rarer"))
+    # the windows have put each document's chunks together, so that gathering them shuffles nothing
+    chunks = F.collect_list(F.struct("digest", "before", "rarer")).alias("chunks")
+    prefixes = scratch.save(ordered.groupBy("fingerprint").agg(F.first("weight").alias("weight"), F.first("name").alias("name"), chunks))
+    scratch.drop(common)
+    ranked = prefixes.select("fingerprint", "weight", F.inline("chunks"))
+    side = lambda c: [F.col("fingerprint").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("weight", "before", "rarer"))]
+    enough = lambda least: F.col("before") <= (1 - least) * F.col("weight") + 1e-6
+    leading = ranked.where(enough(min(contained, near, covered)))
+    a, b = leading.select("digest", *side("a")), leading.select("digest", *side("b"))
+    # what the two share from this chunk on has to reach what a match shares at least
+    needed = F.greatest(near * F.least("a_weight", "b_weight"), covered * F.greatest("a_weight", "b_weight")) - 1e-6
+    able = lambda c: F.col(f"{c}_weight") - F.col(f"{c}_before") >= needed
+    # two that also share the next rarer chunk have met there
+    met = F.coalesce(F.col("a_rarer") == F.col("b_rarer"), F.lit(False))
+    mutual = a.join(b, "digest").where(F.col("a") < F.col("b")).where(able("a") & able("b") & ~met).select("a", "b")
+    part = scratch.save(ranked.where(enough(contained)).select("digest", *side("a")))
+    ways = part.select("digest").distinct()
+    n = ways.count()
+    # where few chunks lead, the others needn't be shuffled
+    whole = (ranked.join(F.broadcast(ways), "digest", "left_semi") if n * 16 <= BROADCAST_BYTES else ranked).select("digest", *side("b"))
+    fits = (F.col("a") != F.col("b")) & (F.col("b_weight") >= F.col("a_weight")) & ~met
+    inside = part.join(whole, "digest").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.save(mutual.union(inside).distinct())
+    where = cells(pairs, scratch, BLOCK)
+    sets = prefixes.select(F.col("fingerprint").alias("id"), "weight", "name", F.array_sort("chunks.digest").alias("digests"))
+    found = verified(pairs, sets, where, _common(contained, near, covered), ", ".join(f"{c} {k}" for c, k in zip(COLUMNS, ("long", "long", "double", "double"))))
+    one = F.lit(1.0)
+    own = classes.select(F.element_at("ids", 1).alias("container_id"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("contained_id"), one.alias("containment"), one.alias("coverage"))
+    return scratch.save(found.unionByName(own.select(*COLUMNS)))
