@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -83,14 +84,22 @@ def test_bpe_round_trip(spark, odd, docs, none):
 
 
 def cut_by_hand(rows):
-    seen, out = {}, {}
-    for doc, text in sorted(set(rows)):
-        for f, n, k in zip(*substrings.runs(text)):
-            if k in seen:
-                out.setdefault((doc, text), set()).update(range(f, f + n))
-            else:
-                seen[k] = 1
-    return {(d, t): "".join(s for i, s in enumerate(substrings.sentences(t)) if i not in out.get((d, t), ())) for d, t in rows}
+    """Every run of whole parts, as lists of words, compared with all before it."""
+    seen, out = set(), {}
+    for doc, text in sorted({(d, t) for d, t in rows if t}):
+        parts = substrings.sentences(text)
+        assert "".join(parts) == text
+        words = [p.lower().split() for p in parts]
+        for i in (k for k, w in enumerate(words) if w):
+            run = []
+            for j in range(i, len(parts)):
+                run += [tuple(words[j])] if words[j] else []
+                if len(run) >= substrings.MIN_SENTENCES and sum(map(len, run)) >= substrings.MIN_WORDS:
+                    if tuple(run) in seen:
+                        out.setdefault((doc, text), set()).update(range(i, j + 1))
+                    seen.add(tuple(run))
+                    break
+    return {(d, t): t and "".join(s for i, s in enumerate(substrings.sentences(t)) if i not in out.get((d, t), ())) for d, t in rows}
 
 
 def test_substrings_like_by_hand(docs):
@@ -110,11 +119,11 @@ def test_substrings_passage_between_others(spark):
 def test_substrings_one_whole_sentence_of_a_passage(spark):
     word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     passage = f"{word('a', 19)}. {word('b', 16)}. {word('c', 22)}"
-    rows = [(1, f"One {passage} two. An end."), (2, f"Three {passage} four. Another end."), (3, f"Nothing else. {word('d', 14)}. Short end."), (4, f"Of it. {word('d', 14)}. Short end.")]
+    rows = [(1, f"One {passage} two. An end."), (2, f"Three {passage} four. Another end."), (3, f"Nothing else. {word('d', 22)}. Short end."), (4, f"Of it. {word('d', 22)}. Short end."), (5, f"Here. {word('e', 14)}. Short end."), (6, f"There. {word('e', 14)}. Short end.")]
     got = {r.doc_id: r.text for r in substrings.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == rows[0][1] and got[3] == rows[2][1]
     assert "b0 " not in got[2] and got[2].endswith("Another end.")
-    assert got[4] == "Of it. "
+    assert got[4] == "Of it. " and got[6] == rows[5][1]  # a sentence and a short one aren't long enough
 
 
 def test_substrings_odd(odd, none):
@@ -162,6 +171,35 @@ def test_hnsw_recall():
     assert len(want & set(zip(a.tolist(), b.tolist()))) >= 0.9 * len(want)
 
 
+def test_hnsw_many_near_identical():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.standard_normal(32) + 0.02 * r.standard_normal((6000, 32)), r.standard_normal((500, 32))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    began, g = time.thread_time(), hnsw.Graph(x)
+    g.group(0.95)
+    i, label = g.near_groups(x, 0.95, hnsw.BEAM)
+    assert len(set(g.labels[:6000])) == 1 and len(set(g.labels)) == 501 and len(i) >= 0.99 * len(x) and (label == g.labels[i]).all()
+    assert time.thread_time() - began < 120
+
+
+def test_hnsw_widens_until_the_audit_passes(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((400, 8))
+    x = np.concatenate([base, base[:150] + 0.05 * r.standard_normal((150, 8))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    want = by_hand(list(range(len(x))), x, hnsw.THRESHOLD)
+    monkeypatch.setattr(hnsw, "BEAM", 1)
+    monkeypatch.setattr(hnsw, "WIDEST", 1)
+    assert {q.vec_id: q.component for q in hnsw.near_duplicates(df, recall=1.0).collect()} == want
+
+
+def test_hnsw_lengths_do_not_matter(spark):
+    tiny, huge = [1e-30, 2e-30], [1e25, 2e25]
+    rows = [(1, tiny), (2, tiny), (3, huge), (4, huge), (5, [1.0, 2.0]), (6, [2.0, -1.0]), (7, [5e-324, 1e-323]), (8, [1e308, 2e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.component for r in hnsw.near_duplicates(df).collect()} == {k: 1 for k in (1, 2, 3, 4, 5, 7)} | {6: 6, 8: 8}
+
+
 def test_hnsw_odd(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.001]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [3.0])]
@@ -278,29 +316,40 @@ def test_mixing_odd(odd, labels, none):
 # --- 6
 
 
-def jaccards(rows, n, least):
-    t = pa.array([x for _, x in rows], pa.string())
-    doc, gram = ngram_join.gram_sets(t, n)
-    sets = {}
-    for d, g in zip(doc.tolist(), gram.tolist()):
-        sets.setdefault(d, set()).add(g)
-    out = {}
-    for a in sets:
-        for b in sets:
-            if rows[a][0] < rows[b][0]:
+def trigrams(text):
+    """The word trigrams of a text, written without the operator's helpers."""
+    words = [w for w in (x.strip("".join(c for c in set(x) if not c.isalnum())) for x in (text or "").lower().split()) if w]
+    return {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+
+
+def jaccards(rows, least):
+    sets, out = [trigrams(t) for _, t in rows], {}
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            if rows[a][0] < rows[b][0] and sets[a] and sets[b]:
                 j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
                 if j >= least:
                     out[rows[a][0], rows[b][0]] = max(j, out.get((rows[a][0], rows[b][0]), 0))
     return out
 
 
-def pairs_of(df, a, b, value):
+def pairs_of(df, a, b, *values):
+    """Every pair of doc_ids that the rows say, those of equal documents through the one that stands for them."""
+    rows = df.collect()
+    equal, tied = {}, set()
+    for r in rows:
+        if all(r[v] == 1 for v in values):
+            x, y = sorted((r[a], r[b]))
+            equal.setdefault(x, {x}).add(y)
+            tied.add((x, y))
     out = {}
-    for r in df.collect():
-        for x in r[a]:
-            for y in r[b]:
+    for r in rows:
+        for x in equal.get(r[a], {r[a]}):
+            for y in equal.get(r[b], {r[b]}):
                 if x != y:
-                    out[min(x, y), max(x, y)] = r[value]
+                    out[x, y] = out[y, x] = tuple(r[v] for v in values)
+    for group in equal.values():
+        out |= {(x, y): (1.0,) * len(values) for x in group for y in group if x != y}
     return out
 
 
@@ -315,8 +364,10 @@ def test_join_like_brute_force(spark):
     rows += [(1000 + k, rows[0][1]) for k in range(5)]
     base = [r.choice(words) for _ in range(200)]
     rows += [(2000 + k, " ".join(w if r.random() > 0.02 else r.choice(words) for w in base)) for k in range(90)]
-    want = jaccards(rows, ngram_join.N, ngram_join.THRESHOLD)
-    got = pairs_of(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")), "a_ids", "b_ids", "jaccard")
+    want = jaccards(rows, ngram_join.THRESHOLD)
+    df = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert df.where("doc_id_a >= doc_id_b").count() == 0
+    got = {k: v for k, (v,) in pairs_of(df, "doc_id_a", "doc_id_b", "jaccard").items() if k[0] < k[1]}
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
     assert all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
@@ -324,13 +375,22 @@ def test_join_like_brute_force(spark):
 def test_join_splits_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOCAL", 20)
     rows = [(k, "a common opening of every text here " + " ".join(f"w{k // 2}x{i}" for i in range(40))) for k in range(80)]
-    got = pairs_of(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")), "a_ids", "b_ids", "jaccard")
-    assert set(got) == {(k, k + 1) for k in range(0, 80, 2)}
+    got = pairs_of(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id_a", "doc_id_b", "jaccard")
+    assert {k for k in got if k[0] < k[1]} == {(k, k + 1) for k in range(0, 80, 2)}
+
+
+def test_join_compares_nodes_that_do_not_part(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOCAL", 10)
+    monkeypatch.setattr(ngram_join, "LEVELS", 1)
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(k, f"{text} end{k}") for k in range(45)]
+    got = pairs_of(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id_a", "doc_id_b", "jaccard")
+    assert {k for k in got if k[0] < k[1]} == {(a, b) for a in range(45) for b in range(a + 1, 45)}
 
 
 def test_join_odd(odd, none):
     out = ngram_join.join(odd).collect()
-    assert all(x is not None for r in out for x in [*r.a_ids, *r.b_ids]) and all(5 not in r.a_ids for r in out)
+    assert all(r.doc_id_a is not None and r.doc_id_b is not None and 5 not in (r.doc_id_a, r.doc_id_b) for r in out)
     assert ngram_join.join(none).count() == 0
     kept = ngram_join.dedupe(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
@@ -402,21 +462,41 @@ def test_chunks_follow_the_content():
     assert all(len(x) <= fingerprints.MOST for x in whole) and 300 < np.mean([len(x) for x in whole[: n[0]]]) < 800
 
 
+def cut_plainly(text):
+    """(digest, size, how often before) of the chunks of a text, cut byte by byte."""
+    import xxhash
+
+    data = " ".join(text.lower().split()).encode()
+    least, usual, most, strict, loose, last = fingerprints.FINE
+    out, start, h, seen = [], 0, 0, {}
+    for i, _ in enumerate(data):
+        h = sum(int(fingerprints.GEAR[data[i - d]]) << d for d in range(last) if i >= d) % (1 << 32)
+        n = i + 1 - start
+        if n == most or n > least and h < 1 << (32 - (strict if n <= usual else loose)):
+            out.append(data[start : i + 1])
+            start = i + 1
+    out += [data[start:]] if start < len(data) else []
+    rows = []
+    for c in out:
+        seen[c] = seen.get(c, -1) + 1
+        rows.append((xxhash.xxh3_64_intdigest(c) >> 7, len(c), seen[c]))
+    return rows
+
+
 def test_containment_like_brute_force(docs):
-    got = {}
-    for r in fingerprints.containment(docs).collect():
-        for x in r.contained_ids:
-            for y in r.container_ids:
-                if x != y:
-                    got[x, y] = r.containment
-    sets = {r.doc_id: dict(zip(r.digests, r.sizes)) for r in fingerprints.fingerprint(docs).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text) < 6000]
+    got = pairs_of(fingerprints.containment(docs.where("length(text) < 6000")), "contained_id", "container_id", "containment", "coverage")
+    sets = {d: set(cut_plainly(t)) for d, t in rows}
+    weigh = {d: sum(c[1] for c in s) for d, s in sets.items()}
     want = {}
     for a in sets:
         for b in sets:
-            c = sum(s for d, s in sets[a].items() if d in sets[b]) / max(1, sum(sets[a].values()))
-            if a != b and c >= fingerprints.CONTAINMENT:
-                want[a, b] = c
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+            if a != b and weigh[a] and weigh[a] <= weigh[b]:
+                shared = sum(c[1] for c in sets[a] & sets[b])
+                if shared >= fingerprints.CONTAINED * weigh[a] or shared >= fingerprints.NEAR * weigh[a] and shared >= fingerprints.COVERED * weigh[b]:
+                    want[a, b] = (shared / weigh[a], shared / weigh[b])
+    assert len(want) > 20 and {tuple(sorted(k)) for k in got} == {tuple(sorted(k)) for k in want}
+    assert all(max(abs(x - y) for x, y in zip(got[k], want[k])) < 1e-5 for k in want)
 
 
 def test_containment_finds_near_copies_by_words(spark, docs):
@@ -428,16 +508,14 @@ def test_containment_finds_near_copies_by_words(spark, docs):
     words = [x.lower().split() for _, x in rows]
     grams = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in words]
     want = {(a, b) for a in range(len(rows)) for b in range(a) if len(grams[a] & grams[b]) >= 0.5 * len(grams[a] | grams[b])}
-    got = set()
-    for row in fingerprints.containment(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got |= {(max(x, y), min(x, y)) for x in row.contained_ids for y in row.container_ids if x != y}
+    got = {(max(k), min(k)) for k in pairs_of(fingerprints.containment(spark.createDataFrame(rows, "doc_id long, text string")), "contained_id", "container_id", "containment", "coverage")}
     assert len(want) >= 60 and len(want & got) >= 0.85 * len(want), (len(want), len(want & got))
     assert sum(10 * len(grams[a] & grams[b]) < min(len(grams[a]), len(grams[b])) for a, b in got) <= 0.02 * len(got)
 
 
 def test_containment_odd(odd, none):
     out = fingerprints.containment(odd).collect()
-    assert all(x is not None for r in out for x in [*r.contained_ids, *r.container_ids])
+    assert all(r.contained_id is not None and r.container_id is not None for r in out)
     assert fingerprints.containment(none).count() == 0
 
 
