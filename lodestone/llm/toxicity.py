@@ -89,10 +89,11 @@ def train(sample: pa.Table, seed: int = 13) -> Chain | None:
     t = X.tokens(sample["text"])
     fold = np.random.default_rng(seed).permutation(t.n) % FOLDS
     parts = [prepared(t, low, toxic, fold != k) for k in range(FOLDS)]
+    filling = [chosen.parts(t) for chosen, _ in parts]
     held = np.zeros((t.n, len(CATEGORIES)))
     for c in range(len(CATEGORIES)):
         for k, (chosen, labels) in enumerate(parts):
-            x = np.column_stack([chosen.matrix(None, t), X.logit(held[:, :c]).astype(np.float32)])
+            x = np.column_stack([chosen.filled(filling[k]), X.logit(held[:, :c]).astype(np.float32)])
             w, b = X.fit(x[fold != k], labels[:, c])
             held[fold == k, c] = X.sigmoid(x[fold == k] @ w + b)
     chosen, labels = prepared(t, low, toxic, np.ones(t.n, bool))
