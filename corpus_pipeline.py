@@ -39,7 +39,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage returns is written and read again."""
+    """The last stage's rows; what each stage returns is written and read again.
+
+    Rows with a null text or doc_id stay until mixing, which gives a null or empty text the rate
+    of the prior; the last stage gives a null text null token_ids. Repeated rows stay or
+    go together. Long texts are handled whole. An empty table gives no rows. Extra columns
+    are carried as they are and dropped by the last stage; names that begin with __chain_,
+    __mix_ or __drop_ are kept for the stages' own use.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
         before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
