@@ -42,7 +42,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     A null source is a source of its own; a null doc_id has a random key as any
     other. Rows of equal doc_id and source are interchangeable and keep a place
     each. Shards differ by a row at most; with fewer rows than shards some are
-    empty. Other columns are ignored.
+    empty. Texts aren't read, so their length doesn't matter. Other columns are
+    ignored; an empty table gives an empty one.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
     n = base.count()
