@@ -66,6 +66,15 @@ def test_bpe_tree_is_exact():
         assert b.encode_tree(text, r.choice([3, 5, 17, 40])) == b.encode(text).tolist()
 
 
+def test_bpe_decodes_any_ids(spark):
+    b = bpe.load(bpe.tokenizer_path())
+    ids = b.encode("some words").tolist()
+    rows = [(1, ids), (2, [None, *ids]), (3, [-1, *ids]), (4, [*ids, 2**30]), (5, []), (6, None), (None, ids), (1, ids)]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, token_ids array<int>").withColumn("text", F.lit("clash"))).collect()
+    want = {(1, "some words"), (2, "some words"), (3, "\ufffdsome words"), (4, "some words\ufffd"), (5, ""), (6, None), (None, "some words")}
+    assert {(r.doc_id, r.text) for r in got} == want and len(got) == len(rows)
+
+
 def test_bpe_round_trip(spark, odd, docs, none):
     b = bpe.load(bpe.tokenizer_path())
     for df in (odd, docs):

@@ -65,3 +65,11 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == before
+
+
+def test_filtering_stages_on_an_empty_table(spark):
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0).withColumn("__mix_copies", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "pii"):
+            out = stage(spark, none, SF)
+            assert out.columns == none.columns and out.count() == 0
