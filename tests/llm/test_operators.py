@@ -382,21 +382,57 @@ def test_join_like_brute_force(spark):
 
 
 def test_join_splits_large_nodes(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LOCAL", 20)
+    monkeypatch.setattr(ngram_join, "CHAIN", 20)
     rows = [(k, "a common opening of every text here " + " ".join(f"w{k // 2}x{i}" for i in range(40))) for k in range(80)]
     got = pairs_of(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id_a", "doc_id_b", "jaccard")
     assert {k for k in got if k[0] < k[1]} == {(k, k + 1) for k in range(0, 80, 2)}
 
 
 def test_join_compares_nodes_that_do_not_part(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LOCAL", 10)
-    monkeypatch.setattr(ngram_join, "LEVELS", 1)
+    monkeypatch.setattr(ngram_join, "CHAIN", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(k, f"{text} end{k}") for k in range(45)]
     got = pairs_of(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id_a", "doc_id_b", "jaccard")
     assert {k for k in got if k[0] < k[1]} == {(a, b) for a in range(45) for b in range(a + 1, 45)}
 
 
+def links_of(rows, pairs):
+    """(class_id, links) of each doc_id by the pairs, written plainly."""
+    own = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            own[a] = own[b] = min(own[a], own[b])
+    return {d: (own[d], sum(d in p for p in pairs)) for d in own}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_leaves_nothing_out(spark, monkeypatch, small):
+    if small:  # many buckets, chains, batches and blocks
+        for name, value in (("POSTINGS", 5000), ("CHAIN", 4), ("MEET", 50), ("BLOCK", 7)):
+            monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(17)
+    words = [f"v{k}" for k in range(4000)]
+    rows = []
+    for k in range(50):  # copies edited so much that many lie close to the threshold, either side of it
+        base = [r.choice(words) for _ in range(r.choice([6, 20, 60, 150]))]
+        for _ in range(6):
+            edits = r.choice([0.01, 0.04, 0.07, 0.09])
+            rows.append((7 * len(rows) - 900, " ".join(w if r.random() > edits else r.choice(words) for w in base)))
+    rows += [(10**12 + k, rows[k][1]) for k in range(40)]
+    want = set(jaccards(rows, ngram_join.THRESHOLD))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pairs_of(ngram_join.join(df), "doc_id_a", "doc_id_b", "jaccard")
+    assert len(want) > 400 and {k for k in got if k[0] < k[1]} == want
+    assert {x.doc_id: (x.class_id, x.links) for x in ngram_join.linked(df).collect()} == links_of(rows, want)
+
+
+def test_join_odd_has_a_row_for_each_document(odd, none):
+    rows = {r.doc_id: (r.class_id, r.links) for r in ngram_join.linked(odd).collect()}
+    assert rows == {k: (k, 0) for k in range(1, 8)}
+    assert ngram_join.linked(none).count() == 0
+
+
 def test_join_odd(odd, none):
     out = ngram_join.join(odd).collect()
     assert all(r.doc_id_a is not None and r.doc_id_b is not None and 5 not in (r.doc_id_a, r.doc_id_b) for r in out)
