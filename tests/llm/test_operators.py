@@ -433,6 +433,13 @@ def test_join_odd_has_a_row_for_each_document(odd, none):
     assert ngram_join.linked(none).count() == 0
 
 
+def test_join_of_many_near_copies_adds_a_row_each(spark):
+    text = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join([*text[: k % 100], f"edit{k}", *text[k % 100 :]])) for k in range(3000)]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3000 and {(r.class_id, r.links) for r in got} == {(0, 2999)}
+
+
 def test_join_odd(odd, none):
     out = ngram_join.join(odd).collect()
     assert all(r.doc_id_a is not None and r.doc_id_b is not None and 5 not in (r.doc_id_a, r.doc_id_b) for r in out)
