@@ -440,6 +440,18 @@ def test_join_of_many_near_copies_adds_a_row_each(spark):
     assert len(got) == 3000 and {(r.class_id, r.links) for r in got} == {(0, 2999)}
 
 
+def test_join_holds_no_pairs_of_two_blocks():
+    """The two blocks have two million similar pairs; a row for each set comes out."""
+    grams = [[*range(30), 1000 + k] for k in range(2000)]
+    kinds = {"cell": pa.int64(), "i": pa.int32(), "j": pa.int32(), "own": pa.int32(), "id": pa.int64(), "size": pa.int64(), "copies": pa.int64(), "grams": pa.list_(pa.int64())}
+    table = [(5, 0, 1, k % 2, k, 31, 1 + k % 3, g) for k, g in enumerate(grams)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*table), kinds.values())], names=list(kinds))
+    out = pa.Table.from_batches(list(ngram_join._compared(0.5, False)(iter([batch]))))
+    assert out.num_rows == 2000 and set(out["a"].to_pylist()) == {0}
+    copies = [sum(1 + k % 3 for k in range(side, 2000, 2)) for side in (1, 0)]
+    assert all(n == copies[k % 2] for k, n in zip(out["b"].to_pylist(), out["value"].to_pylist()))
+
+
 def test_join_odd(odd, none):
     out = ngram_join.join(odd).collect()
     assert all(r.doc_id_a is not None and r.doc_id_b is not None and 5 not in (r.doc_id_a, r.doc_id_b) for r in out)
