@@ -441,7 +441,7 @@ def test_join_of_many_near_copies_adds_a_row_each(spark):
 
 
 def test_join_holds_no_pairs_of_two_blocks():
-    """The two blocks have two million similar pairs; a row for each set comes out."""
+    """The two blocks have a million similar pairs between them; a row for each set comes out."""
     grams = [[*range(30), 1000 + k] for k in range(2000)]
     kinds = {"cell": pa.int64(), "i": pa.int32(), "j": pa.int32(), "own": pa.int32(), "id": pa.int64(), "size": pa.int64(), "copies": pa.int64(), "grams": pa.list_(pa.int64())}
     table = [(5, 0, 1, k % 2, k, 31, 1 + k % 3, g) for k, g in enumerate(grams)]
@@ -577,6 +577,16 @@ def test_containment_finds_near_copies_by_words(spark, docs):
     assert sum(10 * len(grams[a] & grams[b]) < min(len(grams[a]), len(grams[b])) for a, b in got) <= 0.02 * len(got)
 
 
+def test_matches_add_a_row_for_each_document(docs, odd, none):
+    some = docs.where("length(text) < 6000")
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    pairs = {tuple(sorted(k)) for k in pairs_of(fingerprints.containment(some), "contained_id", "container_id", "containment", "coverage")}
+    assert len(pairs) > 20
+    assert {x.doc_id: (x.class_id, x.links) for x in fingerprints.linked(some).collect()} == links_of(rows, pairs)
+    assert {r.doc_id: (r.class_id, r.links) for r in fingerprints.linked(odd).collect()} == {k: (k, 0) for k in range(1, 8)}
+    assert fingerprints.linked(none).count() == 0
+
+
 def test_containment_odd(odd, none):
     out = fingerprints.containment(odd).collect()
     assert all(r.contained_id is not None and r.container_id is not None for r in out)
