@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -452,6 +453,44 @@ def test_join_holds_no_pairs_of_two_blocks():
     assert all(n == copies[k % 2] for k, n in zip(out["b"].to_pylist(), out["value"].to_pylist()))
 
 
+def test_join_compares_a_dense_cell_in_little_memory():
+    """A cell of 2400 sets that are all similar; its pairs, all at once, take over 300 MB."""
+    kinds = {"cell": pa.int64(), "i": pa.int32(), "j": pa.int32(), "own": pa.int32(), "id": pa.int64(), "size": pa.int64(), "copies": pa.int64(), "grams": pa.list_(pa.int64())}
+    table = [(5, 0, 0, 0, k, 31, 1, [*range(30), 1000 + k]) for k in range(2400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*table), kinds.values())], names=list(kinds))
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(ngram_join._compared(0.5, False)(iter([batch]))))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(out["value"].to_pylist()) == {2399} and set(out["a"].to_pylist()) == {0} and out.num_rows == 2400
+    assert most < 150e6
+
+
+def test_join_cells_have_a_bound(spark):
+    """Components of almost a block never meet three in a cell, whatever their hashes."""
+    rows = [(k, 1100 - k % 7, 1000, 1) for k in range(300)] + [(1000, 5000, 1000, 5)]
+    room = spark.createDataFrame(rows, "component long, m long, g long, blocks int")
+    got = ngram_join.with_cells(room, 300).join(room.drop("blocks"), "component").collect()
+    filled = {}
+    for x in got:
+        if x.blocks == 1:
+            filled[x.cell] = filled.get(x.cell, 0) + x.m
+    assert len(got) == 301 and max(filled.values()) < 2 * ngram_join.BLOCK and max(filled) < 0
+
+
+def test_join_meets_in_little_memory(monkeypatch):
+    """Edges are joined to trees as they come, and still join the same documents."""
+    monkeypatch.setattr(ngram_join, "EDGES", 50)
+    names = ["gram", "size", "left", "id"]
+    rows = [(g, 10, 10, 1000 * (g // 2) + k) for g in range(40) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+    out = pa.Table.from_batches(list(ngram_join._meeting(0.5)(iter([batch]))))
+    own = dict(zip(out["u"].to_pylist(), out["v"].to_pylist()))
+    assert out.num_rows == 20 * 59 and all(v == u // 1000 * 1000 for u, v in own.items())
+
+
 def test_join_odd(odd, none):
     out = ngram_join.join(odd).collect()
     assert all(r.doc_id_a is not None and r.doc_id_b is not None and 5 not in (r.doc_id_a, r.doc_id_b) for r in out)
