@@ -203,6 +203,34 @@ def test_hnsw_widens_until_the_audit_passes(spark, monkeypatch):
     assert {q.vec_id: q.component for q in hnsw.near_duplicates(df, recall=1.0).collect()} == want
 
 
+def test_hnsw_visits_few_cells(spark, monkeypatch):
+    """Near duplicates are found over many cells, a cluster in parts of one, and without a visit to every cell."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((6000, 32))
+    x = np.concatenate([base, base[:300] + 0.1 * r.standard_normal((300, 32)), base[:1] + 0.02 * r.standard_normal((700, 32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    widths, visits = [], hnsw._visits
+    monkeypatch.setattr(hnsw, "CELL", 100)
+    monkeypatch.setattr(hnsw, "PART", 150)
+    monkeypatch.setattr(hnsw, "_visits", lambda cells, parts, width: (widths.append((width, len(parts), sum(parts.values()))), visits(cells, parts, width))[1])
+    got = {q.vec_id: q.component for q in hnsw.near_duplicates(df, recall=0.99).collect()}
+    want = by_hand(list(range(len(x))), x, hnsw.THRESHOLD)
+    linked = [k for k in want if want[k] != k]
+    assert sum(got[k] == want[k] for k in linked) >= 0.95 * len(linked) and len(linked) > 900
+    assert all(got[k] >= want[k] for k in want)
+    (width, n, parts), = widths
+    assert 3 <= width < n / 2 and n > 40 and parts > n
+
+
+def test_hnsw_graph_of_pivots_finds_the_nearest(monkeypatch):
+    x = np.random.default_rng(7).standard_normal((3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plain = hnsw.Cells(x[:600], 600).nearest(x, 8)
+    monkeypatch.setattr(hnsw, "GRAPHED", 100)
+    cells = hnsw.Cells(x[:600], 600)
+    assert cells.graph is not None and (cells.nearest(x, 8)[:, 0] == plain[:, 0]).mean() > 0.95
+
+
 def test_hnsw_lengths_do_not_matter(spark):
     tiny, huge = [1e-30, 2e-30], [1e25, 2e25]
     rows = [(1, tiny), (2, tiny), (3, huge), (4, huge), (5, [1.0, 2.0]), (6, [2.0, -1.0]), (7, [5e-324, 1e-323]), (8, [1e308, 2e308])]
