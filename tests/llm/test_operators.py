@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 import tracemalloc
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -508,6 +510,18 @@ def test_join_cells_have_a_bound(spark):
     assert len(got) == 301 and max(filled.values()) < 2 * ngram_join.BLOCK and max(filled) < 0
 
 
+def test_join_takes_many_buckets_in_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "POSTINGS", 50)
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, texts[i // 2] + " end" * (i % 2)) for i in range(400)], "doc_id long, text string")
+    scratch = Scratch(spark, "few-tasks")
+    _, found = ngram_join.similar(docs, scratch, 3, 0.5, False)
+    assert sorted((x.a, x.b, x.value) for x in found.collect()) == [(i - i % 2, i, 1.0) for i in range(400)]
+    files = Counter(p.parent.name for p in Path(scratch.base.removeprefix("file:")).glob("*/part-*"))
+    assert max(files.values()) <= 64
+
+
 def test_join_meets_in_little_memory(monkeypatch):
     """Edges are joined to trees as they come, and still join the same documents."""
     monkeypatch.setattr(ngram_join, "EDGES", 50)
