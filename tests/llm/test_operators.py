@@ -668,6 +668,24 @@ def test_matches_add_a_row_for_each_document(docs, odd, none):
     assert fingerprints.linked(none).count() == 0
 
 
+def test_matches_count_digests_a_share_at_a_time(docs, monkeypatch):
+    saved, save = [], Scratch.save
+
+    def spy(self, df):
+        out = save(self, df)
+        if out.columns == ["digest", "fingerprint", "df"]:
+            saved.append({x.digest for x in out.select("digest").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    found = sorted(map(tuple, fingerprints.containment(docs).collect()))
+    both = saved.copy()
+    assert max(map(len, both)) < 0.6 * sum(map(len, both)) and not set.intersection(*both)
+    monkeypatch.setattr(fingerprints, "PASSES", 1)
+    assert found == sorted(map(tuple, fingerprints.containment(docs).collect()))
+    assert saved[-1] == set.union(*both)
+
+
 def test_containment_odd(odd, none):
     out = fingerprints.containment(odd).collect()
     assert all(r.contained_id is not None and r.container_id is not None for r in out)
