@@ -686,6 +686,28 @@ def test_matches_count_digests_a_share_at_a_time(docs, monkeypatch):
     assert saved[-1] == set.union(*both)
 
 
+def test_matches_list_no_pairs_of_near_copies(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["word" + str(r.randrange(10**6)) for _ in range(150)]
+    rows = [(k, " ".join(w if r.random() > 0.06 else "other" + str(r.randrange(10**6)) for w in words)) for k in range(60)]
+    rows += [(100 + k, " ".join(words[k * 10 : k * 10 + 40])) for k in range(8)]
+    docs, saved, save = spark.createDataFrame(rows, "doc_id long, text string"), [], Scratch.save
+
+    def spy(self, df):
+        out = save(self, df)
+        saved.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    found = {x.doc_id: (x.class_id, x.links) for x in fingerprints.linked(docs).collect()}
+    assert sum(n for _, n in found.values()) > 3000
+    assert not any(columns == ["a", "b"] for columns, _ in saved) and max(n for columns, n in saved if columns == ["guest", "cell"]) < 200
+    # small blocks, few guests and sets at a time
+    for name, value in (("BLOCK", 9), ("LOAD", 4000), ("SPREAD", 1), ("MEETINGS", 50)):
+        monkeypatch.setattr(fingerprints, name, value)
+    assert found == {x.doc_id: (x.class_id, x.links) for x in fingerprints.linked(docs).collect()}
+
+
 def test_containment_odd(odd, none):
     out = fingerprints.containment(odd).collect()
     assert all(r.contained_id is not None and r.container_id is not None for r in out)
