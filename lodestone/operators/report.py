@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import vocabulary as V
-from lodestone.operators.answer import let
+from lodestone.functions.text import let
 from lodestone.operators.segment import slice_section
 
 #: What to look for, what to call it, and whether its sign is dropped.
@@ -55,9 +55,9 @@ def labelled(lines_: Column, label: str, positive: bool) -> Column:
     return F.get(F.filter(amounts, lambda a: a.isNotNull()), F.lit(0))
 
 
-def extract_labels(section: Column, specs: list[tuple[str, str, str]]) -> Column:
-    """Struct of the amounts that the labels have in a section."""
-    return F.struct(*[labelled(lines(section), search, sign == "drop").alias(name) for search, name, sign in specs])
+def extract_labels(lines_: Column, specs: list[tuple[str, str, str]]) -> dict[str, Column]:
+    """The amounts that the labels have in the lines of a section, by name."""
+    return {name: labelled(lines_, search, sign == "drop") for search, name, sign in specs}
 
 
 def grant_lines(lines_: Column) -> Column:
@@ -77,51 +77,70 @@ MOVEMENT = ["Market Value at 1 April", "Profits from Sales", "Net loss on revalu
 
 def movement_kind(line: Column) -> Column:
     """Which row of the movement of investments a line is."""
-    low = F.lower(line)
-    has = lambda *w: sum((F.contains(low, F.lit(x)).cast("int") for x in w), F.lit(0)) == len(w)
-    return (
-        F.when(has("market value at 1 april"), 0).when(has("profits", "sales"), 1).when(has("fair value") | has("revaluations", "net"), 2)
-        .when(has("gains", "investments"), 3).when(has("management fees deducted"), 4).when(has("market value at 31 march"), 5)
-    )
 
+    def kind(low: Column) -> Column:
+        has = lambda *w: sum((F.contains(low, F.lit(x)).cast("int") for x in w), F.lit(0)) == len(w)
+        return (
+            F.when(has("market value at 1 april"), 0).when(has("profits", "sales"), 1).when(has("fair value") | has("revaluations", "net"), 2)
+            .when(has("gains", "investments"), 3).when(has("management fees deducted"), 4).when(has("market value at 31 march"), 5)
+        )
 
-def movement(section: Column) -> Column:
-    ls = lines(section)
+    return let(F.lower(line), kind)
+
+
+def movement(lines_: Column, kinds: Column) -> dict[str, Column]:
+    """The amounts of the rows of the movement of investments, by name; kinds are the lines' movement_kind()."""
 
     def row(k: int, positive: bool) -> Column:
-        return X.first_amount(F.try_element_at(F.filter(ls, lambda x: movement_kind(x) == k), F.lit(-1)), positive)
+        return X.first_amount(F.try_element_at(F.filter(lines_, lambda x, i: F.get(kinds, i) == k), F.lit(-1)), positive)
 
-    return F.struct(*[row(k, k in (0, 1, 5)).alias(name) for k, name in enumerate(MOVEMENT)])
+    return {name: row(k, k in (0, 1, 5)) for k, name in enumerate(MOVEMENT)}
 
 
-def first_line_amount(section: Column, pattern: str, last: bool = False) -> Column:
-    line = F.get(F.filter(lines(section), lambda x: x.rlike(pattern)), F.lit(0))
+def first_line_amount(lines_: Column, pattern: str, last: bool = False) -> Column:
+    line = F.get(F.filter(lines_, lambda x: x.rlike(pattern)), F.lit(0))
     return X.last_amount(line, True) if last else X.first_amount(line, True)
 
 
 def parse(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct `parsed` of the statement, the balance sheet and the notes, all nullable."""
-    norm = X.norm_ws(F.col(text_col))
-    df = docs.withColumn("__text", norm)
-    df = df.withColumn("__sofa", slice_section(F.col("__text"), "STATEMENT OF FINANCIAL ACTIVITIES", [r"\nBALANCE SHEET", rf"\n{NOTES}"]))
-    df = df.withColumn("__balance", slice_section(F.col("__text"), r"\nBALANCE SHEET", [rf"\n{NOTES}", r"\n1\s+ACCOUNTING POLICIES"]))
+    # each step reads columns of the step before, as what stands in one expression twice is worked out twice
+    df = docs.withColumn("__text", X.norm_ws(F.col(text_col)))
     df = df.withColumn("__notes", slice_section(F.col("__text"), NOTES, []))
 
     def note(title: str, n: int, *ends: int) -> Column:
         return slice_section(F.col("__notes"), rf"\n{n}\s+{title}", [rf"\n{e}\s" for e in ends])
 
-    charity = lines(note("COSTS OF CHARITABLE ACTIVITIES", 5, 6, 7))
-    parsed = F.struct(
-        extract_labels(F.col("__sofa"), SOFA).alias("sofa"),
-        extract_labels(F.col("__balance"), BALANCE).alias("balance"),
-        extract_labels(note("INVESTMENT INCOME", 3, 4, 5), INCOME).alias("income"),
-        extract_labels(note("INVESTMENT MANAGEMENT COSTS", 4, 5, 6), FEES).alias("costs"),
-        F.struct(grant_lines(charity).alias("lines"), grants_total(charity).alias("total")).alias("charity"),
-        movement(note("INVESTMENTS", 7, 8, 9)).alias("movement"),
-        first_line_amount(note("DEBTORS", 8, 9, 10), r"(?i)\bOther Debtors\b").alias("other_debtors"),
-        first_line_amount(note("ANALYSIS OF CHARITABLE FUNDS", 9, 10), r"(?i)\bGeneral Funds\b", True).alias("closing_balance"),
-    )
-    return df.withColumn("parsed", parsed).drop("__text", "__sofa", "__balance", "__notes")
+    parts = {
+        "sofa": slice_section(F.col("__text"), "STATEMENT OF FINANCIAL ACTIVITIES", [r"\nBALANCE SHEET", rf"\n{NOTES}"]),
+        "balance": slice_section(F.col("__text"), r"\nBALANCE SHEET", [rf"\n{NOTES}", r"\n1\s+ACCOUNTING POLICIES"]),
+        "income": note("INVESTMENT INCOME", 3, 4, 5),
+        "costs": note("INVESTMENT MANAGEMENT COSTS", 4, 5, 6),
+        "charity": note("COSTS OF CHARITABLE ACTIVITIES", 5, 6, 7),
+        "movement": note("INVESTMENTS", 7, 8, 9),
+        "debtors": note("DEBTORS", 8, 9, 10),
+        "funds": note("ANALYSIS OF CHARITABLE FUNDS", 9, 10),
+    }
+    df = df.withColumns({f"__{k}": lines(v) for k, v in parts.items()})
+    df = df.withColumn("__kinds", F.transform("__movement", movement_kind))
+    at = {k: F.col(f"__{k}") for k in parts}
+    found = {
+        "sofa": extract_labels(at["sofa"], SOFA),
+        "balance": extract_labels(at["balance"], BALANCE),
+        "income": extract_labels(at["income"], INCOME),
+        "costs": extract_labels(at["costs"], FEES),
+        "charity": {"lines": grant_lines(at["charity"]), "total": grants_total(at["charity"])},
+        "movement": movement(at["movement"], F.col("__kinds")),
+        "": {
+            "other_debtors": first_line_amount(at["debtors"], r"(?i)\bOther Debtors\b"),
+            "closing_balance": first_line_amount(at["funds"], r"(?i)\bGeneral Funds\b", True),
+        },
+    }
+    flat = {(k, name): f"__{k}_{n}" for k, v in found.items() for n, name in enumerate(v)}
+    df = df.withColumns({c: found[k][name] for (k, name), c in flat.items()})
+    fields = {k: [F.col(flat[k, name]).alias(name) for name in v] for k, v in found.items()}
+    parsed = F.struct(*[F.struct(*v).alias(k) for k, v in fields.items() if k], *fields[""])
+    return df.withColumn("parsed", parsed).select(*[F.col(c) for c in docs.columns], "parsed")
 
 
 def render(parsed: Column, period: Column, date: Column) -> Column:
@@ -178,7 +197,6 @@ def render(parsed: Column, period: Column, date: Column) -> Column:
 def reports(docs: DataFrame, name_col: str = "name", text_col: str = "text") -> DataFrame:
     """docs with year, period, date, parsed, rendered and out_name."""
     df = parse(docs, text_col)
-    when = X.period_date(F.col(text_col), F.col(name_col))
-    df = df.withColumn("year", X.infer_year(F.col(text_col), F.col(name_col))).withColumn("__when", when)
+    df = df.withColumn("year", X.infer_year(F.col(text_col), F.col(name_col))).withColumn("__when", X.period_of(F.col("year")))
     df = df.withColumn("rendered", render(F.col("parsed"), F.col("__when.period"), F.col("__when.date")))
     return df.select("*", F.col("__when.period").alias("period"), F.col("__when.date").alias("date"), X.output_name(F.col(name_col)).alias("out_name")).drop("__when")

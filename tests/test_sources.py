@@ -79,3 +79,17 @@ def test_report_text(spark):
         assert x in lines
     assert r[1].rendered.startswith("=====") and r[1].period == "Unknown"
     assert df.select(F.count("*")).first()[0] == 2
+
+
+def test_report_steps_work_nothing_out_twice(spark):
+    df = spark.createDataFrame([("a.pdf", REPORT)], "name string, text string").withColumn("text", F.concat("text", F.lit("\n")))
+    plan = R.reports(df).select("rendered")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 100 and plan.count("regexp_replace(") < 60 and plan.count("regexp_instr(") < 30
+
+
+def test_movement_of_investments(spark):
+    text = "NOTES TO THE FINANCIAL STATEMENTS\n7 INVESTMENTS\nMarket value at 1 April 9,000\nFair value (12)\nNet revaluations 13\nGains on investments 4\nMarket value at 31 March (31)\n8 DEBTORS\nOther Debtors 5\n"
+    p = R.parse(spark.createDataFrame([(text,), ("x",), (None,)], "text string")).collect()
+    assert [x.parsed.other_debtors for x in p] == ["£5", None, None]
+    assert p[0].parsed.movement["Net loss on revaluations"] == "£13" and p[0].parsed.movement["Net Gain overall"] == "£4" and p[0].parsed.movement["Profits from Sales"] is None
+    assert all(v is None for x in p[1:] for v in [*x.parsed.movement, *x.parsed.sofa, x.parsed.closing_balance])
