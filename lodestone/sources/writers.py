@@ -14,9 +14,11 @@ def write_index(chunks: DataFrame, path: str) -> None:
     """Chunks and their sparse index, each a table of its own."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     kept = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    index.term_frequency(kept).write.mode("overwrite").parquet(f"{path}/postings")
-    index.idf(kept).write.mode("overwrite").parquet(f"{path}/idf")
-    index.stats(kept).write.mode("overwrite").parquet(f"{path}/stats")
+    tf = index.postings(kept) if index.unique(kept) else index.term_frequency(kept)
+    tf.write.mode("overwrite").parquet(f"{path}/postings")
+    counted = index.frequencies(kept)
+    index.idf(kept, counted).write.mode("overwrite").parquet(f"{path}/idf")
+    index.stats_of(counted).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def write_results(results: DataFrame, path: str) -> None:
