@@ -22,8 +22,8 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Evaluation results as one CSV file; they are as many as the questions asked."""
-    results.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """Evaluation results as CSV files of a folder, each with a header and of the size that Spark advises; no task holds them all."""
+    results.hint("rebalance").write.mode("overwrite").csv(path, header=True)
 
 
 def write_reports(reports: DataFrame, path: str, skip_years: tuple[int, ...] = (2023, 2024)) -> None:

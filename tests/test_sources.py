@@ -93,3 +93,17 @@ def test_movement_of_investments(spark):
     assert [x.parsed.other_debtors for x in p] == ["£5", None, None]
     assert p[0].parsed.movement["Net loss on revaluations"] == "£13" and p[0].parsed.movement["Net Gain overall"] == "£4" and p[0].parsed.movement["Profits from Sales"] is None
     assert all(v is None for x in p[1:] for v in [*x.parsed.movement, *x.parsed.sofa, x.parsed.closing_balance])
+
+
+def test_results_are_written_by_several_tasks(spark, tmp_path):
+    rows = [(k, f"said {k}, or \"{k}\"") for k in range(3000)]
+    df = spark.createDataFrame(rows, "query_id long, answer string").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        writers.write_results(df, str(tmp_path / "r"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "r").glob("*.csv"))) > 1
+    back = spark.read.csv(str(tmp_path / "r"), header=True, schema=df.schema, quote='"', escape="\\")
+    assert sorted(map(tuple, back.collect())) == rows
